@@ -12,7 +12,8 @@ shingles. Only DataFrame functions are used.
 
 Templates of fewer than five words have their whole word sequence as their one shingle; so have documents.
 Defined cases: null and empty texts match nothing; repeated rows match each; extra columns are ignored; no
-templates or an empty table give an empty result. Templates are broadcast (their size is checked).
+templates or an empty table give an empty result. Templates over ``most_bytes`` of text are refused, as every
+task holds the table of their bands; scan these in parts.
 """
 
 from __future__ import annotations
@@ -59,12 +60,9 @@ def band_keys(shingles: str) -> Column:
     n = F.size(shingles)
     starts = F.when(n > WINDOW, F.sequence(F.lit(1), n - 1, F.lit(STEP))).when(n > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     of_bin = lambda h: F.shiftright(h, 64 - BIN_BITS)
-
-    def minima(i: Column) -> Column:
-        ordered = F.sort_array(F.slice(shingles, i, F.lit(WINDOW)))
-        return F.filter(ordered, lambda h, k: (k == 0) | (of_bin(h) != of_bin(F.get(ordered, k - 1))))
-
-    return F.array_distinct(F.flatten(F.transform(starts, minima)))
+    ordered = F.transform(starts, lambda i: F.sort_array(F.slice(shingles, i, F.lit(WINDOW))))
+    minima = F.transform(ordered, lambda window: F.filter(window, lambda h, k: (k == 0) | (of_bin(h) != of_bin(F.get(window, k - 1)))))
+    return F.array_distinct(F.flatten(minima))
 
 
 def with_bands(df: DataFrame, text: Column, *columns: Column) -> DataFrame:
@@ -79,19 +77,21 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str, str], .
     return spark.createDataFrame(list(templates), "template_id string, license string, template_text string")
 
 
-def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame, least: float = LEAST, most_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and template found: doc_id, template_id, license, n_shingles, n_found, containment."""
     size = templates.agg(F.sum(F.octet_length("template_text"))).first()[0] or 0
     known = with_bands(templates, text_or_empty(templates, "template_text"), F.col("template_id"), F.col("license"))
     known = known.withColumn("shingles", F.array_distinct("shingles"))
-    hint = F.broadcast if size <= broadcast_bytes else lambda x: x
+    if size > most_bytes:
+        raise ValueError(f"templates of {size} bytes; the table of their bands is held by every task, at most {most_bytes}")
     banded = with_bands(docs, text_or_empty(docs), docs["doc_id"].alias("doc_id"))
     wanted = known.select(F.explode("bands").alias("band"), F.struct("template_id", "license", "shingles").alias("template"))
     by_band = wanted.groupBy("band").agg(F.collect_list("template").alias("templates"))
-    # a document's row meets the template table once: bands are looked up inside the row, so its text is not multiplied
-    lookup = by_band.agg(F.map_from_entries(F.collect_list(F.struct("band", "templates"))).alias("lookup"), F.collect_list("band").alias("all_bands"))
-    met = banded.crossJoin(hint(lookup)).filter(F.arrays_overlap("bands", "all_bands"))
-    candidates = met.select("doc_id", "shingles", F.explode(F.array_distinct(F.flatten(F.transform(F.array_intersect("bands", "all_bands"), lambda b: F.try_element_at("lookup", b))))).alias("template"))
+    # the table is a scalar subquery, bounded as its size is checked: bands are looked up inside the row, so no text is multiplied
+    lookup = by_band.agg(F.map_from_entries(F.collect_list(F.struct("band", "templates"))).alias("lookup")).scalar()
+    met = banded.withColumn("lookup", lookup).withColumn("met", F.array_intersect("bands", F.map_keys("lookup")))
+    found = met.select("doc_id", "shingles", F.array_distinct(F.flatten(F.transform("met", lambda b: F.try_element_at("lookup", b)))).alias("found"))
+    candidates = found.select("doc_id", "shingles", F.explode_outer("found").alias("template")).filter("template IS NOT NULL")
     counted = candidates.select(
         "doc_id",
         F.col("template.template_id").alias("template_id"),
@@ -107,13 +107,15 @@ def _values() -> str:
     return ", ".join("(" + ", ".join(map(quote, t)) + ")" for t in TEMPLATES)
 
 
+_ORACLE_WORDS = "list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
+
 ORACLE = f"""
 WITH t(template_id, license, template_text) AS (VALUES {_values()}),
-w AS (SELECT template_id AS id, license, list_filter(regexp_split_to_array(lower(template_text), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM t),
-ts AS (SELECT id, license, list_distinct(list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS s FROM w),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '') AS w FROM documents),
-ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')))) AS s FROM d WHERE len(w) > 0),
-u AS (SELECT id, license, len(s) AS n, unnest(s) AS s FROM ts),
-c AS (SELECT doc_id, id AS template_id, license, n AS n_shingles, count(*) AS n_found FROM ds JOIN u USING (s) GROUP BY ALL)
+w AS (SELECT 't' AS kind, template_id AS id, license, {_ORACLE_WORDS.format("template_text")} AS w FROM t UNION ALL SELECT 'd', doc_id::VARCHAR, NULL, {_ORACLE_WORDS.format("text")} FROM documents),
+x AS (SELECT kind, id, license, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+y AS (SELECT kind, id, license, n, i, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS s FROM x WINDOW o AS (PARTITION BY kind, id ORDER BY i)),
+z AS (SELECT DISTINCT kind, id, license, s FROM y WHERE i <= greatest(n - {WORDS - 1}, 1)),
+u AS (SELECT id, license, s, count(*) OVER (PARTITION BY id) AS n FROM z WHERE kind = 't'),
+c AS (SELECT z.id::BIGINT AS doc_id, u.id AS template_id, u.license, n AS n_shingles, count(*) AS n_found FROM z JOIN u USING (s) WHERE z.kind = 'd' GROUP BY ALL)
 SELECT doc_id, template_id, license, n_shingles, n_found, n_found / n_shingles AS containment FROM c WHERE n_found / n_shingles >= {LEAST}
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark.llm import exact_dedup, html_extract, langid, lm, packing, quality, sentencepiece_codec, simhash, topk
+from vellumspark.llm import exact_dedup, html_extract, langid, license_scan, lm, packing, quality, sentencepiece_codec, simhash, topk
 from vellumspark.llm.common import crc_remainder
 from vellumspark.session import table
 
@@ -56,10 +56,14 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_langid, op4_simhash, op5_sentencepiece, op6_html, op7_packing, op8_topk, op10_lm)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality, op3_langid, op4_simhash, op5_sentencepiece, op6_html, op7_packing, op8_topk, op9_license_scan, op10_lm)}
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_topk": topk.ORACLE, "op9_license_scan": license_scan.ORACLE}
