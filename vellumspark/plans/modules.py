@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("events",)
+NAMES = ("events", "text", "corpus")
 
 
 def load() -> None:
