@@ -1,6 +1,7 @@
 """Holds a query's rows against its SQL in DuckDB."""
 
 import datetime
+import decimal
 import math
 
 import duckdb
@@ -19,6 +20,8 @@ def views(folder: str):
 def plain(x):
     if isinstance(x, float):
         return None if math.isnan(x) else float(f"{x:.9g}")
+    if isinstance(x, decimal.Decimal):
+        return ("decimal", x)
     if isinstance(x, (list, tuple)):
         return tuple(plain(v) for v in x)
     if isinstance(x, datetime.datetime):

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
@@ -15,19 +16,19 @@ ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_diacritics(text: pd.Series) -> pd.Series:
     """Without combining marks U+0300-036F; letters that don't decompose are mapped."""
     table = {ord("ı"): "i", ord("đ"): "d", ord("ł"): "l", ord("ß"): "ss"} | {c: None for c in range(0x300, 0x370)}
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).translate(table))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def arabic_letters(text: pd.Series) -> pd.Series:
     """Presentation forms as plain letters; other compatibility characters stay."""
     forms = lambda c: unicodedata.normalize("NFKC", c) if "ﭐ" <= c <= "﷿" or "ﹰ" <= c <= "﻾" else c

@@ -116,8 +116,9 @@ def page_direction(rows: DataFrame) -> DataFrame:
 
 def in_columns(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """The column region of each line: a range join on left <= x < right within the page."""
-    same = (rows["doc_id"] == regions["doc_id"]) & (rows["page"] == regions["page"]) & (rows["x"] >= regions["left"]) & (rows["x"] < regions["right"])
-    return rows.join(regions.select("doc_id", "page", "left", "right", "region"), same, "left").select(*[rows[c] for c in rows.columns], F.col("region"))
+    own = regions.select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), F.col("left").alias("_left"), F.col("right").alias("_right"), "region")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("page") == F.col("_page")) & (F.col("x") >= F.col("_left")) & (F.col("x") < F.col("_right"))
+    return rows.join(own, same, "left").drop("_doc", "_page", "_left", "_right")
 
 
 def column_gaps(items: DataFrame, bins: int = 100, page_width: float = 600.0, least_share: float = 0.0) -> DataFrame:
