@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("events", "text", "corpus", "pages")
+NAMES = ("events", "text", "corpus", "pages", "records")
 
 
 def load() -> None:
