@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are words of the text in lower case (A-Z), then one end. The model interpolates relative frequencies
-of orders 3 and 2 with the add-one unigram model. Counts are taken over all training documents and are
+of the longer orders (2, or 2 and 3) with the add-one unigram model. Counts are taken over all training documents and are
 exact for the order they cover; their keys are 64-bit hashes for words and 40 bits beside the bucket for
 longer n-grams, so that a foreign n-gram is met with a chance of about its number in the corpus over 2^46
 or less.
@@ -37,7 +37,8 @@ from vellumspark.llm.common import crc_remainder, cut, text_or_empty
 from vellumspark.llm.elias_fano import Trie
 
 #: Weight of a longer context seen c times: a * c / (c + s), for orders 2 and 3.
-PROFILES = list(itertools.product(((0.0, 1.0), (0.15, 8.0), (0.35, 4.0), (0.6, 2.0), (0.85, 1.0)), ((0.0, 1.0), (0.5, 1.0), (0.9, 0.5))))
+WEIGHTS = {2: ((0.0, 1.0), (0.15, 8.0), (0.35, 4.0), (0.6, 2.0), (0.85, 1.0)), 3: ((0.0, 1.0), (0.5, 1.0), (0.9, 0.5))}
+PROFILES = {2: [(x, (0.0, 1.0)) for x in WEIGHTS[2]], 3: list(itertools.product(WEIGHTS[2], WEIGHTS[3]))}
 STEPS = 1200  # quantisation steps per factor of two
 END = b""
 BLOCK = 1 << 16
@@ -55,9 +56,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """A chunk's tokens, its distinct n-grams of orders 1 to 3 and their counts in its training documents."""
+    """A chunk's tokens, its distinct n-grams of orders 1 to 2 or 3 and their counts in its training documents."""
 
-    def __init__(self, texts: list[str], held: np.ndarray) -> None:
+    def __init__(self, texts: list[str], held: np.ndarray, order: int) -> None:
         numbers: dict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         end = numbers[END]
@@ -81,6 +82,8 @@ class Grams:
         pair, inverse = np.unique(t[place - 1] * self.words + t[place], return_inverse=True)
         first, second = pair // self.words, pair % self.words
         self._order(_mix(h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second]), np.stack((first, second), axis=1), place, inverse)
+        if order < 3:
+            return
         of_pair = self.of_token[1]
         place = np.flatnonzero(same[1:] & same[:-1]) + 2
         triple, inverse = np.unique(of_pair[place - 1] * self.words + t[place], return_inverse=True)
@@ -118,15 +121,15 @@ def _keys_from(blob: bytes, order: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _send(key: tuple, docs: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    grams = Grams(docs["text"].tolist(), docs["held_out"].to_numpy(dtype=bool))
-    columns: dict[str, list] = {"chunk": [int(key[0])] * buckets, "bucket": list(range(buckets))}
-    for order in (1, 2, 3):
+def _send(key: tuple, docs: pd.DataFrame, buckets: int, most: int) -> pd.DataFrame:
+    grams = Grams(docs["text"].tolist(), docs["held_out"].to_numpy(dtype=bool), most)
+    columns: dict[str, list] = {"chunk": [int(key[0])] * buckets, "bucket": list(range(buckets)), "k3": [b""] * buckets, "c3": [b""] * buckets}
+    for order in range(1, most + 1):
         by, cuts = grams.blocks(order, buckets)
         keys, counts = grams.keys[order - 1][by], grams.counts[order - 1][by].astype("<u4")
         columns[f"k{order}"] = [_key_bytes(keys[a:b], order) for a, b in zip(cuts, cuts[1:])]
         columns[f"c{order}"] = [counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pd.DataFrame(columns)
+    return pd.DataFrame(columns)[[c.split()[0] for c in SENT.split(", ")]]
 
 
 def _add_up(key: tuple, sent: pd.DataFrame, chunks: int) -> pd.DataFrame:
@@ -160,18 +163,19 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
 
 def _trie(grams: Grams, totals: list[np.ndarray]) -> Trie:
     """The chunk's trie of n-grams met in training, with relative frequencies."""
-    two, three = totals[1], totals[2]
+    two = totals[1]
     keep2 = np.flatnonzero((two > 0) & (totals[0][grams.rows[0][:, 0]] > 0))
-    keep3 = np.flatnonzero(three > 0)
     pairs = grams.rows[0]
     level2 = (pairs[keep2], quantise(np.minimum(1, two[keep2] / totals[0][pairs[keep2, 0]])))
     base = Trie.build(grams.words, [level2])
+    if len(totals) < 3:
+        return base.mapped()
+    three = totals[2]
+    keep3 = np.flatnonzero(three > 0)
     rows3 = grams.rows[1][keep3]
     front, back = _entries(base, rows3[:, :2]), _entries(base, rows3[:, 1:])
     sound = (front >= 0) & (back >= 0)
     keep3, rows3 = keep3[sound], rows3[sound]
-    number = np.full(len(pairs), 0, dtype=np.int64)
-    number[keep2] = two[keep2]
     code = rows3[:, 0] * grams.words + rows3[:, 1]
     known = pairs[keep2, 0] * grams.words + pairs[keep2, 1]
     context = two[keep2][np.searchsorted(known, code)] if len(code) else np.zeros(0)
@@ -191,52 +195,52 @@ def _frequencies(trie: Trie, k: int, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def _weight(c: np.ndarray, of: tuple[float, float]) -> np.ndarray:
+    return of[0] * c / (c + of[1])
+
+
+def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, buckets: int, most: int) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
     held = docs["held_out"].to_numpy(dtype=bool)
-    grams = Grams(docs["text"].tolist(), held)
+    grams = Grams(docs["text"].tolist(), held, most)
     answers = answers.sort_values("bucket")
     n, v = int(answers["n"].sum()), int(answers["v"].sum())
     totals = []
-    for order in (1, 2, 3):
+    for order in range(1, most + 1):
         by, _ = grams.blocks(order, buckets)
-        got = np.zeros(len(by), dtype=np.int64)
+        got = np.zeros(len(by) + 1, dtype=np.int64)  # one more for "no such n-gram", at place -1
         got[by] = np.frombuffer(b"".join(answers[f"t{order}"]), dtype="<u4")
         totals.append(got)
-    trie = _trie(grams, totals)
-    q2, q3 = _frequencies(trie, 0, grams.rows[0]), _frequencies(trie, 1, grams.rows[1])
-    size = len(held)
-    scores, left = np.zeros((size, len(PROFILES))), np.zeros((size, len(PROFILES)))
+    trie = _trie(grams, [t[:-1] for t in totals])
+    frequency = [np.append(_frequencies(trie, k, rows), 0.0) for k, rows in enumerate(grams.rows)]
+    first = np.append(grams.rows[0][:, 0], 0)
+    profiles, size = PROFILES[most], len(held)
+    scores, left = np.zeros((size, len(profiles))), np.zeros((size, len(profiles)))
     known = np.bincount(grams.doc, weights=totals[0][grams.tokens] > 0, minlength=size)
-    logs = np.log10((totals[0] + 1) / (n + v + 1))
-    base = np.bincount(grams.doc, weights=logs[grams.tokens], minlength=size)
-
-    def weight(c: np.ndarray, a: float, s: float) -> np.ndarray:
-        return a * c / (c + s)
-
+    base = np.bincount(grams.doc, weights=np.log10((totals[0] + 1) / (n + v + 1))[grams.tokens], minlength=size)
     for lo in range(0, len(grams.tokens), BLOCK):
         part = slice(lo, lo + BLOCK)
-        t, doc, p, r, train = grams.tokens[part], grams.doc[part], grams.of_token[1][part], grams.of_token[2][part], grams.train[part]
-        before = grams.rows[0][p, 0] if len(grams.rows[0]) else np.zeros(len(t), dtype=np.int64)
-        c1 = np.where(p >= 0, totals[0][before], 0)
-        f2 = np.where(p >= 0, q2[p], 0.0) if len(q2) else np.zeros(len(t))
-        n2 = np.where(p >= 0, totals[1][p], 0) if len(q2) else np.zeros(len(t))
-        previous = np.concatenate((grams.of_token[1][max(0, lo - 1) : lo] if lo else [-1], p[:-1]))[: len(p)].astype(np.int64)
-        c2 = np.where((r >= 0) & (previous >= 0), totals[1][previous], 0) if len(q2) else np.zeros(len(t))
-        f3 = np.where(r >= 0, q3[r], 0.0) if len(q3) else np.zeros(len(t))
-        n3 = np.where(r >= 0, totals[2][r], 0) if len(q3) else np.zeros(len(t))
-        p1 = (totals[0][t] + 1) / (n + v + 1)
-        # the same with the token's own occurrence left out
-        l1, lc1, lc2 = np.maximum(totals[0][t], 1) / max(1, n + v), np.maximum(c1 - 1, 0), np.maximum(c2 - 1, 0)
-        lf2 = np.where(lc1 > 0, np.maximum(n2 - 1, 0) / np.maximum(lc1, 1), 0)
-        lf3 = np.where(lc2 > 0, np.maximum(n3 - 1, 0) / np.maximum(lc2, 1), 0)
-        for k, ((a2, s2), (a3, s3)) in enumerate(PROFILES):
-            w2, w3 = weight(c1, a2, s2), weight(c2, a3, s3)
-            scores[:, k] += np.bincount(doc, weights=np.log10(w3 * f3 + (1 - w3) * (w2 * f2 + (1 - w2) * p1)), minlength=size)
-            if train.any():
-                w2, w3 = weight(lc1, a2, s2), weight(lc2, a3, s3)
-                left[:, k] += np.bincount(doc[train], weights=np.log10(w3 * lf3 + (1 - w3) * (w2 * lf2 + (1 - w2) * l1))[train], minlength=size)
+        t, doc, train, pair = grams.tokens[part], grams.doc[part], grams.train[part], grams.of_token[1][part]
+        own, c1, n2, f2 = totals[0][t], np.where(pair >= 0, totals[0][first[pair]], 0), totals[1][pair], frequency[0][pair]
+        p1 = (own + 1) / (n + v + 1)
+        if most > 2:
+            before = np.concatenate(([grams.of_token[1][lo - 1] if lo else -1], pair[:-1]))
+            triple = grams.of_token[2][part]
+            c2, n3, f3 = np.where(triple >= 0, totals[1][before], 0), totals[2][triple], frequency[1][triple]
+        # with the token's own occurrence left out
+        l1, lc1 = np.maximum(own, 1) / max(1, n + v), np.maximum(c1 - 1, 0)
+        lf2 = np.maximum(n2 - 1, 0) / np.maximum(lc1, 1)
+        for k, (w2, w3) in enumerate(profiles):
+            w = _weight(c1, w2)
+            p, w = w * f2 + (1 - w) * p1, _weight(lc1, w2)
+            q = w * lf2 + (1 - w) * l1
+            if most > 2:
+                w, lc2 = _weight(c2, w3), np.maximum(c2 - 1, 0)
+                p, w = w * f3 + (1 - w) * p, _weight(lc2, w3)
+                q = w * np.maximum(n3 - 1, 0) / np.maximum(lc2, 1) + (1 - w) * q
+            scores[:, k] += np.bincount(doc, weights=np.log10(p), minlength=size)
+            left[:, k] += np.bincount(doc, weights=np.where(train, np.log10(q), 0), minlength=size)
     return pd.DataFrame(
         {
             "doc_id": docs["doc_id"].to_numpy(),
@@ -251,16 +255,16 @@ def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, buckets: int)
     )
 
 
-def score(docs: DataFrame, fold: int = 7, held_out: int = 2, chunk_chars: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held_out: int = 2, order: int = 2, chunk_chars: int = 6_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))  # ids go through pandas as text, to keep nulls and large numbers whole
     chars = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = int(chars // chunk_chars) + 1
     buckets = chunks // 2 + 1
     dealt = given.withColumn("held_out", crc_remainder(F.col("doc_id"), fold) == held_out).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    sent = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: _send(key, pdf, buckets), SENT)
+    sent = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: _send(key, pdf, buckets, order), SENT)
     answers = sent.groupBy("bucket").applyInPandas(lambda key, pdf: _add_up(key, pdf, chunks), ANSWER)
-    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, d, a: _score(key, d, a, buckets), SCORED))
-    sums = scored.agg(*[F.sum(F.get("left_out", F.lit(k))).alias(f"p{k}") for k in range(len(PROFILES))]).first()
-    best = max(range(len(PROFILES)), key=lambda k: (sums[k] if sums[k] is not None else 0.0, -k))
+    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, d, a: _score(key, d, a, buckets, order), SCORED))
+    sums = scored.agg(*[F.sum(F.get("left_out", F.lit(k))).alias(f"p{k}") for k in range(len(PROFILES[order]))]).first()
+    best = max(range(len(PROFILES[order])), key=lambda k: (sums[k] if sums[k] is not None else 0.0, -k))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.get("scores", F.lit(best)).alias("score"))
