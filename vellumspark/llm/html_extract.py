@@ -53,6 +53,9 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "t
 #: What an opening tag ends, and inside which element that search stops.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 
+#: End tags that pages may leave out, so their absence is no other shape.
+OPTIONAL_ENDS = {f"</{t}" for t in ("p", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "body", "html", "option")}
+
 Token = tuple[str, str]  # mark ("#", "<tag flag" or "</tag") and the raw text
 
 
@@ -110,13 +113,15 @@ def tokens(html: str) -> list[Token]:
 
 
 def skeleton(marks: list[str]) -> list[str]:
-    """The marks that tell a page's shape: runs of text and inline markup are one slot."""
+    """The marks that tell a page's shape: runs of text and inline markup are one slot, optional end tags are left out."""
     out: list[str] = []
     for m in marks:
         if m == " ":
             continue
         if m[0] != "#" and m.split(" ")[0].lstrip("</") not in BLOCKS and not m.endswith(" N"):
             continue
+        if m in OPTIONAL_ENDS:
+            continue
         if not (m == "#" and out and out[-1] == "#"):
             out.append(m)
     return out
