@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("events", "text", "corpus", "pages", "records")
+NAMES = ("events", "text", "corpus", "pages", "records", "details")
 
 
 def load() -> None:
