@@ -119,3 +119,8 @@ def test_near_odd_rows(make):
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     kept = simhash.keep_one_of_each_group(make(ODD))
     assert kept.columns == make([]).columns and kept.count() == len({r.component_id for r in got})
+
+
+def test_documents_without_an_id_stay(make):
+    kept = simhash.keep_one_of_each_group(make([(None, "one text here"), (None, "quite another text"), (4, "one text here"), (3, "one text here")]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "one text here"), (0, "quite another text"), (3, "one text here")]

@@ -113,8 +113,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of repeated rows one stays."""
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    joined = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]))
+    """The document with the smallest id of each component, with all its columns; of repeated rows one stays.
+
+    Documents without an id can't be told apart by it, so all of them stay.
+    """
+    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    joined = docs.join(stay, docs["doc_id"] == stay["_stay"])
     again = Window.partitionBy("_stay").orderBy("_stay")
-    return joined.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*[joined[c] for c in docs.columns])
+    named = joined.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*[joined[c] for c in docs.columns])
+    return named.unionByName(docs.filter(docs["doc_id"].isNull()))
