@@ -12,21 +12,18 @@ PII = {
     "cc": r"(?:^|[^A-Za-z0-9_])([0-9]{4}[ \t\n]?[0-9]{4}[ \t\n]?[0-9]{4}[ \t\n]?[0-9]{4})(?:[^A-Za-z0-9_]|$)",
     "url": r"https?://[^ \t\n\r]+",
 }
-#: Common words of Latin-script languages; a word of several languages says nothing.
+#: Common words of some Latin-script languages; a word of several languages says nothing. Others are given as a parameter.
 COMMON_WORDS = {
     "eng": "the and of to is in that for it with as are on be this by or from your you can a i",
     "fra": "le la les des est et une un du pour que dans pas sur vous qui avec sont au ne ce votre plus",
     "deu": "der die und das ist nicht ein eine den mit auf für fur sie es dem zu von werden wird sich auch oder bei",
     "spa": "el la los las de que y en un una es para por con del se su no al como sus más mas",
-    "ita": "il la di che e è per un una del della sono con non le gli dei alla nel si come più piu senza nessun nessuna tutti puoi vuoi sul tuo suoi questo questa viene ogni anche",
-    "por": "o a os as de que e do da em um uma para com não nao na se por dos das seu sua",
     "nld": "de het een en van is in dat op te met voor zijn niet je die worden wordt ook aan bij",
     "pol": "i w z na do się sie nie to jest że ze o jak lub od po dla są sa przez co",
-    "tur": "ve bir bu için icin ile da de olarak daha olan gibi veya her çok cok en ama sonra kadar",
-    "vie": "và của là các có trong cho được không những một với này để khi từ người mot khong cua cac voi nhung duoc nay hoac nhieu cung",
     "uzb": "uchun bilan esa yoki emas kabi mumkin hamda orqali qilish barcha faqat agar lekin",
     "ind": "dan yang di ini untuk dengan dari tidak ke anda dalam akan atau pada adalah bisa juga",
 }
+#: Code point ranges, link shorteners, extensions of files that run when opened.
 SCRIPTS = {"lat": "A-ɏ", "cyr": "Ѐ-ӿ", "heb": "֐-׿", "ara": "؀-ۿ", "kana": "぀-ヿ", "cjk": "丁-鿿", "han": "가-힣", "dev": "ऀ-ॿ", "tha": "฀-๿"}
 SHORTENERS = ["bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "rebrand.ly", "cutt.ly", "shorturl.at", "tiny.cc", "rb.gy", "lnkd.in", "qrco.de", "s.id", "v.gd"]
 RUNNABLE = r"(?i)\.(exe|com|scr|pif|bat|cmd|ps1|psm1|vbs|vbe|js|jse|wsf|wsh|hta|msi|msp|dll|cpl|jar|lnk|url|reg|sh|app|dmg|iso|img|docm|xlsm|pptm|dotm|xlam|ppam|zip|rar|7z|gz|cab|html?|svg)$"
@@ -84,13 +81,13 @@ def script_language(text: Column, confidence: Column | None = None) -> Column:
     return F.struct(F.when(short, "eng").otherwise(lang).alias("lang"), (~short & sure).alias("confident"))
 
 
-def common_word_language(docs: DataFrame) -> DataFrame:
+def common_word_language(docs: DataFrame, words_of: dict[str, str] | None = None) -> DataFrame:
     """doc_id, lang: the language whose own common words are 3 % of the words and twice the next one's, else eng.
 
     The lexicon (under 300 words) is broadcast; counting is one grouped pass.
     """
     spark = docs.sparkSession
-    pairs = [(w, lang) for lang, words in COMMON_WORDS.items() for w in sorted(set(words.split()))]
+    pairs = [(w, lang) for lang, words in (words_of or COMMON_WORDS).items() for w in sorted(set(words.split()))]
     lexicon = spark.createDataFrame(pairs, "word string, lang string").groupBy("word").agg(F.min("lang").alias("lang"), F.count("*").alias("n")).filter("n = 1 AND lang <> 'eng'").select("word", "lang")
     words = docs.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1))).alias("word"))
     counted = words.join(F.broadcast(lexicon), "word", "left").groupBy("doc_id", "lang").agg(F.count("word").alias("n"))

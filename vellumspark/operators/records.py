@@ -126,6 +126,7 @@ def language_tag(text: Column) -> Column:
 
 
 _NAME = re.compile(rb"/((?:[^\x00-\x20()<>\[\]{}/%#]|#[0-9a-fA-F]{2})+)")
+#: Names that tell of active content.
 WATCHED = ("JavaScript", "JS", "Launch", "OpenAction", "AA", "EmbeddedFile", "URI", "SubmitForm", "GoToR", "RichMedia", "Encrypt", "AcroForm", "XFA")
 
 
