@@ -34,7 +34,7 @@ from vellumspark.llm.common import text_or_empty
 
 SEQUENCE = 1024
 END_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

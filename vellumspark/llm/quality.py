@@ -31,7 +31,7 @@ from vellumspark.llm.common import crc_remainder, text_or_empty
 
 SIZE, MARKS, WINDOW, HIDDEN = 64, 8, 2, 32
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _RUNS = re.compile(r"(.)\1+", re.S)
 _SHAPES = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
 
