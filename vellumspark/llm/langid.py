@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import crc_remainder
+from vellumspark.llm.common import crc_remainder, pieces
 
 UNKNOWN = "und"
 SHARPNESS = 8.0
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in pieces(it):
             langs, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -152,7 +152,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in pieces(it):
             langs, scores = shared.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores)], pa.bool_()))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vellumspark.llm.common import text_or_empty
+from vellumspark.llm.common import pieces, text_or_empty
 
 SEQUENCE = 1024
 END_ID = 0
@@ -247,7 +247,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             group, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow)
 
-        for batch in it:
+        for batch in pieces(it):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 group.append((doc_id, encode(text) + tail))
                 size += len(group[-1][1])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import crc_remainder, text_or_empty
+from vellumspark.llm.common import crc_remainder, pieces, text_or_empty
 
 SIZE, MARKS, WINDOW, HIDDEN = 64, 8, 2, 32
 THRESHOLD = 0.7
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        for batch in it:
+        for batch in pieces(it):
             scores = shared.value.predict(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -205,7 +205,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
-        for batch in it:
+        for batch in pieces(it):
             scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()], cache)
             yield batch.filter(pa.array(scores >= threshold, pa.bool_()))
 
