@@ -145,6 +145,20 @@ def test_search_block_is_exact(k, n):
         assert [(-s, j) for q, j, s in got if q == i] == want
 
 
+def test_search_block_reads_copies_once():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        vectors = rng.integers(-256, 256, (4096, 64)).astype(float)
+        ids = rng.permutation(40960)[:4096].astype(np.int64)
+        asked = rng.integers(-256, 256, (4, 64)).astype(float)
+        for q in asked:
+            vectors[rng.choice(4096, 200, replace=False)] = vectors[np.argmax(vectors @ q)]
+        got = topk.search_block(np.arange(-4, 0), asked, ids, vectors, 5)
+        for i, q in zip(range(-4, 0), asked):
+            want = sorted((-int(s), int(j)) for j, s in zip(ids, vectors @ q))[:5]
+            assert [(-s, j) for a, j, s in got if a == i] == want
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0], 1), (50, None, 1), (100, [float("nan"), 1.0], 1), (150, [None, 1.0], 1), (200, [1e30, 1.0], 1), (1, [0.5, 0.5], 1), (1, [0.5, 0.5], 1), (2, [], 1), (None, [1.0, 1.0], 1), (3, [1.0, 1.0, 1.0], 2)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()

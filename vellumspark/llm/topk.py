@@ -55,24 +55,25 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     for start in range(0, len(queries), 64):
         bounds = file.bounds(queries[start : start + 64])
         for qid, q, bound in zip(query_ids[start : start + 64], queries[start : start + 64], bounds):
-            bound = np.where(ids == qid, -np.inf, bound)
             best: list[tuple[int, int]] = []
-            take, done = 8 * k, 0
-            order = np.zeros(0, dtype=np.int64)
-            while done < len(ids):
-                if done >= len(order):
-                    order = np.argsort(-bound, kind="stable") if take * 4 >= len(ids) else np.argpartition(-bound, take)[:take]
-                    order = order[np.argsort(-bound[order], kind="stable")]
-                step = order[done : done + 4 * k]
-                step = step[ids[step] != qid]
-                best += [(-int(s), int(i)) for s, i in zip(vectors[step] @ q, ids[step])]
-                best = sorted(best)[:k]
-                done += 4 * k
-                rest = bound[order[done]] if done < len(order) else -np.inf if len(order) == len(ids) else bound[order[-1]]
-                if rest == -np.inf or len(best) == k and rest < -best[-1][0]:
-                    break
-                if done >= len(order):
-                    done, take = len(order), take * 8
+            take, left = 8 * k, np.flatnonzero(ids != qid)  # places not yet read, each of them once
+            certain = False
+            while len(left) and not certain:
+                if take * 4 >= len(left):
+                    chunk, left = left, left[:0]
+                else:
+                    parted = left[np.argpartition(-bound[left], take)]
+                    chunk, left = parted[:take], parted[take:]
+                chunk = chunk[np.argsort(-bound[chunk], kind="stable")]
+                for done in range(0, len(chunk), 4 * k):
+                    step = chunk[done : done + 4 * k]
+                    best += [(-int(s), int(i)) for s, i in zip(vectors[step] @ q, ids[step])]
+                    best = sorted(best)[:k]
+                    rest = bound[chunk[min(done + 4 * k, len(chunk) - 1)]]
+                    if len(best) == k and rest < -best[-1][0]:
+                        certain = True
+                        break
+                take *= 8
             out += [(int(qid), i, -s) for s, i in best]
     return out
 
