@@ -26,6 +26,20 @@ def test_sentencepiece_like_the_library():
         assert own.round_trip(t) == (",".join(map(str, ids)), sp.decode(ids)), t
 
 
+def test_sentencepiece_long_words():
+    import sentencepiece
+
+    model = open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    rng = random.Random(5)
+    for letters in ("0123456789", [chr(c) for c in range(0x4E00, 0x9000)], [chr(c) for c in range(0x1F600, 0x1F640)], "a1日😀é,xth\n"):
+        word = "".join(rng.choice(letters) for _ in range(5000))
+        for t in (word, "on " + word + " the", "a\n" + word):
+            ids = sp.encode(t)
+            assert own.round_trip(t) == (",".join(map(str, ids)), sp.decode(ids))
+    assert max(map(len, own.young)) <= sentencepiece_codec.CACHE_CHARS
+
+
 def test_sentencepiece_query(spark):
     import hashlib
 

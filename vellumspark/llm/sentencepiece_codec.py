@@ -27,6 +27,7 @@ from vellumspark.llm.common import text_or_empty
 
 MARK = "▁"
 CACHE_WORDS = 500_000
+CACHE_CHARS = 64  # longer words are not remembered, only their parts
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _codecs: dict[bytes, Codec] = {}
 
@@ -186,20 +187,23 @@ class Codec:
         """Joined ids of a word with the space, or the line end, before it.
 
         A line end is a byte piece, and no piece holds certain pairs of characters; on both sides of such
-        a place the ids are those of the parts.
+        a place the ids are those of the parts. Parts, read as if at a line's start, have no such place.
         """
         got = self.young.get(word) or self.old.get(word)
         if got is None:
             if self.line is not None and "\n" in word[1:]:
                 lines = word[1:].split("\n")
                 return ",".join([self._word(word[0] + lines[0]), *[self.line + ("," + self._word("\n" + x) if x else "") for x in lines[1:]]])
-            if len(word) > 2 and word[-2:] not in self.pairs:
-                got = self._word(word[:-1]) + "," + ",".join([self.number[i] for i in self.segment(word[-1])])
+            pairs = self.pairs
+            cuts = [i for i in range(2, len(word)) if word[i - 1 : i + 1] not in pairs]
+            if cuts:
+                got = ",".join([self._word(word[: cuts[0]]), *[self._word("\n" + word[i:j]) for i, j in zip(cuts, [*cuts[1:], len(word)])]])
             else:
                 ids = self.segment(MARK + word[1:] if word[0] == " " else word[1:])
                 got = ",".join([self.number[i] for i in ids])
                 self.faithful &= self.decode(ids, first=False) == (word if word[0] == " " else word[1:])
-        self.young[word] = got
+        if len(word) <= CACHE_CHARS:
+            self.young[word] = got
         return got
 
     def round_trip(self, text: str) -> tuple[str, str]:
