@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import ODD
-from vellumspark.llm import elias_fano, langid, lm, quality
+from vellumspark.llm import elias_fano, langid, lm, quality, queries
 from vellumspark.session import table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -125,3 +125,11 @@ def test_lm_against_brute_force(make, order):
 
 def test_lm_empty(make):
     assert lm.score(make([])).count() == 0
+
+
+def test_lm_query_uses_trigrams(spark, make, tmp_path):
+    rows = [(i, " ".join(["a b c", "x b d"][(i + k) % 2] for k in range(12))) for i in range(60)]
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op10_lm(spark, str(tmp_path)).collect()}
+    best = {order: {r.doc_id: r.score for r in lm.score(make(rows), order=order).collect()} for order in (2, 3)}
+    assert got == pytest.approx(best[3]) and sum(got.values()) > sum(best[2].values()) + 100

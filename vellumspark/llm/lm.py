@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are words of the text in lower case (A-Z), then one end. The model interpolates relative frequencies
-of the longer orders (2, or 2 and 3) with the add-one unigram model. Counts are taken over all training documents and are
+of the longer orders (2 and 3, or 2 alone) with the add-one unigram model. Counts are taken over all training documents and are
 exact for the order they cover; their keys are 64-bit hashes for words and 40 bits beside the bucket for
 longer n-grams, so that a foreign n-gram is met with a chance of about its number in the corpus over 2^46
 or less.
@@ -255,7 +255,7 @@ def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, buckets: int,
     )
 
 
-def score(docs: DataFrame, fold: int = 7, held_out: int = 2, order: int = 2, chunk_chars: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held_out: int = 2, order: int = 3, chunk_chars: int = 6_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))  # ids go through pandas as text, to keep nulls and large numbers whole
     chars = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
