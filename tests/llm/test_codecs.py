@@ -117,6 +117,24 @@ def test_assign_holds_all_tokens(lengths):
     assert sum(p[2] for p in pieces) == sum(lengths)
 
 
+def test_assign_cuts_only_what_fits_nowhere():
+    rng = random.Random(7)
+    lengths = [min(1023, int(rng.expovariate(1 / 350)) + 1) for _ in range(4096)]
+    pieces, count = packing.assign(lengths)
+    used, cost, cut = [0] * count, [0.0] * count, set()
+    whole = {i: s for i, start, length, s, _ in pieces if length == lengths[i]}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        open_ = [s for s in range(count) if used[s] + lengths[i] <= 1024]
+        if not open_:
+            cut.add(i)
+            continue
+        s = min(open_, key=lambda s: (cost[s], s))
+        assert whole.get(i) == s
+        used[s] += lengths[i]
+        cost[s] += lengths[i] + lengths[i] ** 2 / 512
+    assert cut >= {p[0] for p in pieces if p[2] < lengths[p[0]]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header>Top</header><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice">We use cookies</div><main><article><h1>A &amp; B</h1><p>One <b>two</b>
  three<br>four<p>Five<aside>Side</aside><div class="ad">Buy</div><ul><li>six<li>seven</ul><form>Name <input></form><script>var x="</p>"</script>

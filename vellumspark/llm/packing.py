@@ -136,37 +136,52 @@ def assign(lengths: list[int], capacity: int = SEQUENCE, linear: float = 1.0, qu
     """Pieces (item, start, length, sequence, offset) for items shorter than capacity, and the number of sequences.
 
     Descending items go to the lowest-cost sequence with room; one that fits nowhere whole fills the roomiest
-    sequences in turn. The sequence count is the least that holds all tokens.
+    sequences in turn. The sequence count is the least that holds all tokens. Sequences are in one heap per room
+    left, under a tree that gives the lowest cost of all rooms from a certain one up.
     """
     count = -(-sum(lengths) // capacity)
     used, cost = [0] * count, [0.0] * count
-    heap = [(0.0, s) for s in range(count)]
     out: list[tuple[int, int, int, int, int]] = []
     cut: list[int] = []
+    size, none = 1 << capacity.bit_length(), (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(size)]
+    heaps[capacity] = [(0.0, s) for s in range(count)]
+    tree = [none] * (2 * size)
 
     def put(item: int, start: int, length: int, s: int) -> None:
         out.append((item, start, length, s, used[s]))
         used[s] += length
         cost[s] += linear * length + quadratic * length * length
 
+    def renew(room: int) -> None:
+        i = room + size
+        tree[i] = heaps[room][0] if heaps[room] else none
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def lowest(room: int) -> int:
+        """The sequence of lowest cost with so much room, or -1."""
+        best, i, end = none, room + size, 2 * size
+        while i < end:
+            if i & 1:
+                best = min(best, tree[i])
+                i += 1
+            i, end = i >> 1, end >> 1
+        return best[1]
+
+    renew(capacity)
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        passed = []
-        while heap:
-            _, s = heap[0]
-            if used[s] + lengths[item] <= capacity:
-                break
-            passed.append(heapq.heappop(heap))
-            if len(passed) > 64:  # so full that a whole fit is unlikely: see it among the cut ones
-                break
-        if heap and used[heap[0][1]] + lengths[item] <= capacity:
-            s = heapq.heappop(heap)[1]
-            put(item, 0, lengths[item], s)
-            if used[s] < capacity:
-                heapq.heappush(heap, (cost[s], s))
-        else:
+        s = lowest(lengths[item])
+        if s < 0:
             cut.append(item)
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        room = capacity - used[s]
+        heapq.heappop(heaps[room])
+        renew(room)
+        put(item, 0, lengths[item], s)
+        heapq.heappush(heaps[capacity - used[s]], (cost[s], s))
+        renew(capacity - used[s])
     rooms = [(used[s] - capacity, s) for s in range(count) if used[s] < capacity]
     heapq.heapify(rooms)
     for item in cut:
