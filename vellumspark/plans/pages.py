@@ -126,7 +126,7 @@ def p16(spark, d):
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     own = lines(spark, d).filter("line <> ''").withColumn("page", F.floor((F.col("n") - 1) / 40).cast("int"))
-    words = own.select("doc_id", "page", "n", F.posexplode(F.split(F.substring("line", 1, 4000), " ")).alias("seq", "text"))
+    words = own.select("doc_id", "page", "n", F.posexplode(F.split("line", " ")).alias("seq", "text"))
     size = F.when(F.col("n") == 1, 18.0).otherwise(10.0)
     # x is 30 points a word: what counts is the order and the gaps
     return words.select("doc_id", "page", "seq", (F.col("seq") * 30.0).alias("x"), (F.lit(800.0) - ((F.col("n") - 1) % 40) * 15).alias("y"), (F.length("text") * 3.0).alias("width"), size.alias("size"), "text")
