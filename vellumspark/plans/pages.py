@@ -222,7 +222,11 @@ def l22(spark, d):
 
 @query("l10_column_gaps")
 def l10(spark, d):
-    return L.column_gaps(items(spark, d).filter("x < 570").withColumn("width", F.least("width", F.lit(25.0))))
+    # every word, in pieces of eight letters, takes the next of 19 places of 30 points; lines go on below
+    own = lines(spark, d).filter("line <> ''").withColumn("page", F.floor((F.col("n") - 1) / 40).cast("int"))
+    pieces = F.flatten(F.transform(F.split("line", " "), lambda w: F.when(w == "", F.array(w)).otherwise(F.regexp_extract_all(w, F.lit("(?s).{1,8}"), F.lit(0)))))
+    words = own.select("doc_id", "page", F.posexplode(pieces).alias("seq", "text"))
+    return L.column_gaps(words.select("doc_id", "page", (F.col("seq") % 19 * 30.0).alias("x"), (F.length("text") * 3.0).alias("width")))
 
 
 @query("l11_column_regions", f"WITH {LAYOUT}, g(region, lo, hi) AS (VALUES (1, 0, 20), (2, 20, 600)) SELECT doc_id, page, line, region FROM r JOIN g ON x >= lo AND x < hi")
