@@ -14,5 +14,5 @@ def make(spark):
     return build
 
 
-#: Null, empty, white space, ties, repeated rows, a null id.
-ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "One two three four"), (5, "ONE two three four"), (5, "ONE two three four"), (None, "one two"), (6, "x" * 5000), (7, "É é"), (8, "é é")]
+#: Null, empty, white space, ties, repeated rows, a null id, long words in several scripts, shared ids.
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "One two three four"), (5, "ONE two three four"), (5, "ONE two three four"), (None, "one two"), (6, "x" * 5000), (7, "É é"), (8, "é é"), (11, "😀" * 3000), (12, "中文字" * 2000), (13, "0123456789" * 500), (14, "qz" * 2000)]

@@ -40,6 +40,30 @@ def test_sentencepiece_long_words():
     assert max(map(len, own.young)) <= sentencepiece_codec.CACHE_CHARS
 
 
+def test_sentencepiece_megabyte_words():
+    """Linear: a word of about a megabyte, whatever its characters, takes seconds."""
+    import time
+
+    import sentencepiece
+
+    model = open(queries.tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+    for text in ("😀" * 250_000, "中文字" * 110_000, "0123456789" * 100_000, "qz" * 500_000, " " * 1_000_000, " " * 100_001 + "the", "   " + "abcde" * 60_000):
+        began, ids = time.perf_counter(), sp.encode(text)
+        assert own.round_trip(text) == (",".join(map(str, ids)), sp.decode(ids))
+        assert time.perf_counter() - began < 20
+
+
+def test_sentencepiece_clashing_and_empty(spark, make):
+    from pyspark.sql import functions as F
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    assert sentencepiece_codec.encode_decode(make([]), path).count() == 0
+    more = make(ODD).withColumns({c: F.lit("x") for c in ("ids", "decoded", "n_tokens")})
+    got = sentencepiece_codec.encode_decode(more, path)
+    assert got.columns == ["doc_id", "ids", "decoded"] and got.count() == len(ODD)
+
+
 def test_sentencepiece_query(spark):
     import hashlib
 
