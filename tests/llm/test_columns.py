@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.llm import exact_dedup, langid, license_scan, lm, packing, quality, queries, sentencepiece_codec, simhash
 
-CLASHES = ("row", "best", "keep_id", "kept", "group_size", "fp", "key", "component_id", "score", "lang_pred", "chunk", "bucket", "held_out", "bands", "shingles", "draw", "label", "ids", "n")
+CLASHES = ("row", "best", "keep_id", "kept", "group_size", "fp", "key", "component_id", "score", "lang_pred", "chunk", "bucket", "held_out", "bands", "shingles", "draw", "label", "ids", "n", "id", "digest", "rank", "stays", "root", "least", "node", "u", "v", "w", "keys", "text_sha256", "fingerprint", "_digest", "_again", "_kept_id", "_kept_digest", "_stay", "ID_", "Digest_")
 
 
 def test_clashing_columns(spark, make):
@@ -31,4 +31,4 @@ def test_clashing_columns(spark, make):
         got = f(more)
         assert got.columns == more.columns
         assert {r.doc_id for r in got.collect()} == {r.doc_id for r in f(plain).collect()}
-        assert {r["fp"] for r in got.collect()} == {"x"}
+        assert {r["fp"] for r in got.collect()} == {"x"} and {r["_digest"] for r in got.collect()} == {"x"}

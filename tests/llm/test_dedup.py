@@ -124,3 +124,65 @@ def test_near_odd_rows(make):
 def test_documents_without_an_id_stay(make):
     kept = simhash.keep_one_of_each_group(make([(None, "one text here"), (None, "quite another text"), (4, "one text here"), (3, "one text here")]))
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "one text here"), (0, "quite another text"), (3, "one text here")]
+
+
+#: Nulls, empties, repeated rows, ids shared by different texts, near copies, long texts.
+SHARED = [
+    (1, None), (1, ""), (1, "alpha beta gamma delta"), (1, "ALPHA beta gamma delta"), (2, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "other words are here"), (3, "other words are here"),
+    (4, "quite " * 4000 + "long"), (5, "quite " * 4000 + "LONG"), (6, "another text of its own"), (6, "another text of its own"), (6, "a third text that stands alone"), (None, "other words are here"), (None, "nobody's words"), (None, "nobody's words"),
+]
+
+
+@pytest.mark.parametrize("rows", [SHARED, ODD, SHARED * 3, []])
+def test_exact_stage_by_brute_force(make, rows):
+    best = {}
+    for i, t in rows:
+        key = (t or "").translate(UPPER)
+        best[key] = max(best.get(key, -1), -1 if i is None else i)
+    kept = exact_dedup.keep_first_copies(make(rows)).collect()
+    got = sorted(((r.text or "").translate(UPPER), -1 if r.doc_id is None else r.doc_id) for r in kept)
+    assert got == sorted(best.items())
+
+
+def near_stage_by_brute_force(rows):
+    """Number of rows to stay, and the ids, for each component; rows without an id all stay."""
+    prints = [simhash.fingerprint(t or "") for _, t in rows]
+    parts = _components(sorted({f for f, (i, _) in zip(prints, rows) if i is not None}))
+    best = []
+    for part in parts:
+        best.append(min((i, hashlib.sha256((t or "").encode()).digest()) for f, (i, t) in zip(prints, rows) if f in part and i is not None))
+    return sorted(best) + [(None, hashlib.sha256((t or "").encode()).digest()) for i, t in sorted(rows, key=str) if i is None]
+
+
+@pytest.mark.parametrize("rows", [SHARED, ODD, SHARED * 3, []])
+def test_near_stage_by_brute_force(make, rows):
+    kept = simhash.keep_one_of_each_group(make(rows)).collect()
+    got = [(r.doc_id, hashlib.sha256((r.text or "").encode()).digest()) for r in kept]
+    assert sorted(map(str, got)) == sorted(map(str, near_stage_by_brute_force(rows)))
+
+
+def test_near_duplicates_by_brute_force(make):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = list(rng.choice(words, 30))
+        rows.append((2 * i, " ".join(own)))
+        own[int(rng.integers(0, 30))] = "changed"
+        rows += [(2 * i + 1, " ".join(own))] * (1 + i % 2)
+    rows += ODD
+    got = simhash.near_duplicates(make(rows), bucket_pairs=4).collect()
+    prints = [simhash.fingerprint(t or "") for _, t in rows]
+    smallest = {}
+    for part in _components(sorted(set(prints))):
+        least = min((i for f, (i, _) in zip(prints, rows) if f in part and i is not None), default=None)
+        smallest |= dict.fromkeys(part, least)
+    want = sorted(str((i, f"{f:016x}", smallest[f])) for f, (i, _) in zip(prints, rows))
+    assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in got) == want
+
+
+def test_exact_groups_past_the_heavy_list(make):
+    """More frequent digests than the heavy list holds: the rest go the ordinary way, with the same result."""
+    rows = [(i, f"text {i % 20}") for i in range(2000)]
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(make(rows), tracked=16, heavy_limit=4).collect()}
+    assert got == {(i, 1980 + i % 20, 100) for i in range(2000)}

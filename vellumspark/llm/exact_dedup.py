@@ -3,20 +3,22 @@
 Texts are equal when they are identical after lower-casing A-Z. A Misra-Gries summary (Spark's
 ``approx_top_k``) finds digests that may be frequent; their groups are counted exactly, and these
 winners, at most ``heavy_limit`` rows, are broadcast so that the copies are settled map-side. All other
-digests take an ordinary shuffle: no group there can be larger than the summary's error, about
-rows / ``tracked``, or ``heavy_min``.
+digests take an ordinary shuffle: a group there has at most about rows / ``heavy_limit`` copies (or
+``heavy_min``); its best row and size are aggregated before the shuffle and joined back, so no group is ever
+held together.
 
 Defined cases: a null text counts as empty, and empty texts are copies of each other; a null id loses
-against any other; of rows that share both text and the largest id one stays; extra columns are ignored;
-an empty table gives an empty result.
+against any other; of rows that share both text and the largest id one stays; texts of any length are hashed
+whole; extra columns are ignored, whatever their names, and the filtering form passes them on; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import ascii_lower, cut, text_or_empty
+from vellumspark.llm.common import ascii_lower, cut, text_digest, text_or_empty, without
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,8 +52,9 @@ def exact_dedup(
     listed = F.broadcast(spark.createDataFrame([(x,) for x in candidates], "text_sha256 string"))
     winners = cut(keyed.join(listed, "text_sha256", "left_semi").groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")))
     heavy = keyed.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    light = keyed.join(listed, "text_sha256", "left_anti").withColumns({"best": best.over(group), "group_size": F.count("*").over(group)})
+    others = keyed.join(listed, "text_sha256", "left_anti")
+    several = others.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1")
+    light = others.join(several, "text_sha256", "left").withColumns({"best": F.coalesce("best", F.struct("doc_id", "row")), "group_size": F.coalesce("group_size", F.lit(1))})
     columns = [
         F.col("doc_id"),
         F.col("best.doc_id").alias("keep_id"),
@@ -63,12 +66,11 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    own = docs.withColumn("_digest", F.sha2(ascii_lower(text_or_empty(docs)).cast("binary"), 256))
-    joined = own.join(kept, own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own["_digest"] == kept["_kept_digest"]))
-    again = Window.partitionBy("_kept_id", "_kept_digest").orderBy("_kept_id")
-    return joined.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*[joined[c] for c in docs.columns])
+    """The documents that exact_dedup keeps, with all their columns; rows that share an id but not a text are told apart."""
+    copies = cut(exact_dedup(docs).filter("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")))
+    keys = copies.groupBy(F.col("doc_id").alias("id"), "digest", "stays").agg(F.count("*").alias("n"))
+    dropped, again = cut(keys.filter("NOT stays").select("id", "digest")), cut(keys.filter("stays AND n > 1").select("id", "digest"))
+    return without(docs, text_digest(ascii_lower(text_or_empty(docs))), dropped, again)
 
 
 ORACLE = """

@@ -11,7 +11,9 @@ neighbour (or one is it) exactly when they differ in at most two bits. Work ther
 
 Defined cases: null and empty texts and texts of white space have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; repeated rows share fingerprint and component; a null
-id never names a component unless all its members have none; an empty table gives an empty result.
+id never names a component unless all its members have none; rows that share an id but not a text each have
+their own component; texts of any length are read whole; extra columns are ignored, whatever their names, and
+the filtering form passes them on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import golay
-from vellumspark.llm.common import cut, text_or_empty
+from vellumspark.llm.common import cut, text_digest, text_or_empty, without
 from vellumspark.llm.components import connected_components
 
 SEED = 42
@@ -53,13 +55,14 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(found)], ["doc_id", "digest", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
-    given = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    return given.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, digest (32 bytes of the text, if asked for, else null), fp (the fingerprint as a signed long)."""
+    text = text_or_empty(docs, text_col)
+    given = docs.select(docs[id_col].cast("long").alias("doc_id"), (text_digest(text) if digest else F.lit(None).cast("binary")).alias("digest"), text.alias("text"))
+    return given.mapInArrow(_fingerprint_batches, "doc_id long, digest binary, fp long")
 
 
 def segment_keys(fps: np.ndarray) -> np.ndarray:
@@ -101,24 +104,32 @@ def links(fps: DataFrame, bucket_pairs: int = 64) -> DataFrame:
     return pairs.unionByName(starred).distinct()
 
 
+def classes(fps: DataFrame, bucket_pairs: int = 64) -> DataFrame:
+    """fp, root: for each distinct fingerprint of a cut table (fp) the smallest fingerprint reachable."""
+    roots = connected_components(links(fps, bucket_pairs=bucket_pairs))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_pairs: int = 64) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    marked = cut(fingerprints(docs, id_col, text_col))
+    marked = cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct.select("fp"), bucket_pairs=bucket_pairs))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(classes(distinct.select("fp"), bucket_pairs), "fp")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(of_root, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.join(of_root, "root").select("fp", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, bucket_pairs: int = 64) -> DataFrame:
     """The document with the smallest id of each component, with all its columns; of repeated rows one stays.
 
+    Rows are told apart by id and text, so of rows that share the smallest id, one for each component stays.
     Documents without an id can't be told apart by it, so all of them stay.
     """
-    stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    joined = docs.join(stay, docs["doc_id"] == stay["_stay"])
-    again = Window.partitionBy("_stay").orderBy("_stay")
-    named = joined.withColumn("_again", F.row_number().over(again)).filter("_again = 1").select(*[joined[c] for c in docs.columns])
-    return named.unionByName(docs.filter(docs["doc_id"].isNull()))
+    marked = cut(fingerprints(docs, digest=True).filter("doc_id IS NOT NULL").groupBy("fp", F.col("doc_id").alias("id"), "digest").agg(F.count("*").alias("n")))
+    distinct = cut(marked.select("fp").distinct())
+    grouped = marked.join(classes(distinct, bucket_pairs), "fp")
+    best = grouped.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("best"), F.count("*").alias("keys"))
+    several = cut(grouped.join(best.filter("keys > 1"), "root").filter(F.struct("id", "digest") != F.col("best")).select("id", "digest"))
+    again = marked.filter("n > 1").select("id", "digest")
+    return without(docs, text_digest(text_or_empty(docs)), several, cut(again.join(several, ["id", "digest"], "left_anti")))
