@@ -26,7 +26,7 @@ def test_language_odd_rows(spark, make):
     assert [got[i].lang_pred for i in (1, 2, 3, 9)] == ["und"] * 4 and got[9].score == 0
     assert langid.identify(make(ODD), langid.learn(make([]))).filter("lang_pred <> 'und'").count() == 0
     kept = langid.keep_identified(make(ODD), model)
-    assert kept.columns == make([]).columns and kept.count() == len(ODD) - 3
+    assert kept.columns == make([]).columns and kept.count() == sum(any(c.isalpha() for c in t or '') for _, t in ODD)
 
 
 def test_grams_are_the_distinct_blended_spectrum():
@@ -36,6 +36,79 @@ def test_grams_are_the_distinct_blended_spectrum():
     assert len(langid.grams(text)) == len(want)
 
 
+def naive_language_scores(texts, langs, asked, landmarks, ridge):
+    """The same model from its definition: kernel by sets, Nystroem features, weighted ridge; nothing folded."""
+    sets = [set(langid.grams(t).tolist()) for t in texts]
+    names = sorted(set(langs))
+    marks = [s for n in names for s in [s for s, x in zip(sets, langs) if x == n][:landmarks]]
+    kernel = lambda a, b: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors * np.where(values > 1e-8 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-12)), 0) @ vectors.T
+    x, y = kernel(sets, marks) @ root, np.array([[1.0 if n == own else -1.0 for n in names] for own in langs])
+    w = np.array([1 / langs.count(own) for own in langs])
+    w /= w.mean()
+    mx, my = np.average(x, axis=0, weights=w), np.average(y, axis=0, weights=w)
+    beta = np.linalg.solve((x - mx).T @ ((x - mx) * w[:, None]) + ridge * len(sets) * np.eye(len(marks)), (x - mx).T @ ((y - my) * w[:, None]))
+    return (kernel([set(langid.grams(t).tolist()) for t in asked], marks) @ root - mx) @ beta + my
+
+
+def test_language_scores_by_definition(spark):
+    rows = [r for r in table(spark, FOLDER, "documents").orderBy("doc_id").limit(120).collect() if r.text and len(langid.grams(r.text)) and r.lang]
+    texts, langs = [r.text for r in rows[:80]], [r.lang for r in rows[:80]]
+    asked = [r.text for r in rows[80:]]
+    model = langid.fit(texts, langs, landmarks=6)
+    want = naive_language_scores(texts, langs, asked, 6, 1e-3)
+    assert np.allclose(model.scores([langid.grams(t) for t in asked]), want, atol=2e-3)
+    assert model.predict(asked)[0] == [model.languages[k] for k in want.argmax(axis=1)]
+
+
+def test_learning_samples_are_bounded(spark, monkeypatch):
+    """A repeated id, with one text or many, brings at most the documented number of rows to the driver."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    few = spark.createDataFrame([(i, "plain words here" if i % 2 else "BAD!! WORSE!!", "de", "s", 9) for i in range(40)], many.schema)
+    docs = many.unionByName(few)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, got: seen.setdefault("quality", len(texts)))
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, marks=0: seen.setdefault("language", max(langs.count(x) for x in set(langs))))
+    quality.learn(docs, labels)
+    langid.learn(docs, per_lang=100)
+    assert 0 < seen["quality"] <= 40 and 0 < seen["language"] <= 100
+
+
+def test_quality_refuses_to_drop_all(spark, make):
+    docs = make([(1, "some text"), (2, "more text")])
+    model = quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    with pytest.raises(ValueError):
+        quality.keep_good(docs, model)
+    assert quality.keep_good(make([]), model).count() == 0
+
+
+def naive_quality(model, text):
+    """The score by its definition, one word at a time."""
+    size, words = quality.SIZE, text.split()
+    x = np.zeros(2 * size + 2)
+    for w in words:
+        s = model.shapes.get(quality.shape(w), 0)
+        x[:size] += model.vectors[model.words.get(w, s)]
+        x[size : 2 * size] += model.vectors[s]
+    x = np.append(x[: 2 * size] / len(words), [math.log1p(len(words)), 0]) if words else np.append(x[:-1], 1)
+    hidden = [max(0.0, sum((x - model.mean) / model.scale * model.layers[0][:, k]) + model.layers[1][k]) for k in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(float(np.dot(hidden, model.layers[2])) + float(model.layers[3])) / model.temperature))
+
+
+def test_quality_scores_by_definition(spark, make):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = quality.learn(docs, labels)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(40).collect()] + [t or "" for _, t in ODD]
+    got = quality.score(make([(i, t) for i, t in enumerate(texts)]), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(naive_quality(model, texts[r.doc_id]) - r.score) < 1e-4
+
+
 def test_quality_held_out(spark):
     docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
     scored = quality.score(docs, quality.learn(docs, labels))
@@ -52,6 +125,7 @@ def test_quality_odd_rows(spark, make):
     model = quality.learn(docs, labels)
     scores = {r.doc_id: r.score for r in quality.score(make(ODD), model).collect()}
     assert all(0 <= s <= 1 for s in scores.values()) and scores[1] == scores[2] == scores[3]
+    assert quality.learn(docs, labels.limit(0)).constant == 0.5
     assert quality.learn(docs, labels.limit(0)).predict(["a"], {})[0] == 0.5
     assert quality.score(make([]), model).count() == 0
     assert quality.keep_good(docs, model).count() == 20

@@ -4,14 +4,19 @@ A text is the set of its character n-grams of lengths 1 to 3 (letters in lower c
 one space). The kernel of two texts is the number of n-grams they share over the geometric mean of their
 numbers of n-grams. Landmark texts give Nyström features; one-versus-rest kernel ridge regression is solved
 on them. Since the kernel against the landmarks is a product of presence vectors, landmarks and regression
-weights fold into one matrix (n-gram by language), and a batch of texts is scored by one product with it.
+weights fold into one matrix (n-gram by language); texts are scored in blocks, each by the product of the
+block's presence matrix with it.
 
-Learning reads at most about ``per_lang`` texts of each language, drawn by a hash of the id, of which the
-first ``landmarks`` per language are landmarks. Texts are never shortened.
+Learning collects at most ``per_lang`` texts of each language, drawn by a hash of id and text, copies once, of
+which the first ``landmarks`` per language are landmarks; of a language column with more than ``max_langs``
+values only the most frequent are learned. Texts over ``max_text_bytes`` are not learned from; none is
+shortened, and all are scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null language isn't learned
-from; equal scores go to the language first by name; with no learnable language all texts are ``und``;
-repeated rows are scored each; extra columns are ignored.
+from; equal scores go to the language first by name; with no learnable language (as in an empty table) all
+texts are ``und``; an empty table gives an empty result; repeated rows are scored each, rows that share an id
+are drawn each by their text; extra columns are ignored, whatever their names, and the filtering form passes
+them on.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import crc_remainder, pieces
 
 UNKNOWN = "und"
 SHARPNESS = 8.0
+BLOCK_BYTES = 16 << 20  # of a presence matrix
 
 
 @lru_cache(maxsize=1)
@@ -60,14 +66,12 @@ class Model:
     bias: np.ndarray
 
     def scores(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Decision values, one row per text: presence vectors times folded weights, over the texts' norms."""
-        out = np.zeros((len(sets), len(self.languages)))
-        for r, own in enumerate(sets):
-            at = np.searchsorted(self.vocabulary, own)
-            at[at == len(self.vocabulary)] = 0
-            known = at[self.vocabulary[at] == own]
-            out[r] = self.weights[known].sum(axis=0) / np.sqrt(max(1, len(own)))
-        return out + self.bias
+        """Decision values, one row per text: presence matrix times folded weights, over the texts' norms."""
+        rows = max(1, BLOCK_BYTES // (4 * max(1, len(self.vocabulary))))
+        weights = self.weights.astype(np.float32)
+        parts = [_presence(sets[i : i + rows], self.vocabulary) @ weights for i in range(0, len(sets), rows)]
+        norms = np.sqrt([max(1, len(s)) for s in sets])
+        return np.concatenate(parts).astype(np.float64) / norms[:, None] + self.bias if parts else np.zeros((0, len(self.languages)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         sets = [grams(t) if t else np.zeros(0, dtype=np.int64) for t in texts]
@@ -82,11 +86,15 @@ class Model:
 
 
 def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """1 where a text (row) holds an n-gram (column)."""
     out = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-    for r, own in enumerate(sets):
-        at = np.searchsorted(vocabulary, own)
-        at[at == len(vocabulary)] = 0
-        out[r, at[vocabulary[at] == own]] = 1
+    if not len(vocabulary) or not sets:
+        return out
+    every, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.searchsorted(vocabulary, every)
+    at[at == len(vocabulary)] = 0
+    known = vocabulary[at] == every
+    out[rows[known], at[known]] = 1
     return out
 
 
@@ -116,23 +124,20 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 40, ridge: float =
     return Model(names, vocabulary, base.T.astype(np.float64) @ (root @ solved), shift - mean @ solved)
 
 
-def learn(docs: DataFrame, fold: int = 5, held_out: int = 0, per_lang: int = 300, landmarks: int = 40, max_langs: int = 200) -> Model:
-    """Fits on a hash sample of the texts with a language, outside the held-out remainder of crc32(doc_id)."""
-    known = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull() & (crc_remainder(docs["doc_id"], fold) != held_out))
-    known = known.select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
+def learn(docs: DataFrame, fold: int = 5, held_out: int = 0, per_lang: int = 300, landmarks: int = 40, max_langs: int = 200, max_text_bytes: int = 1 << 20) -> Model:
+    """Fits on a bounded hash sample of the texts with a language, outside the held-out remainder of crc32(doc_id)."""
+    usable = docs["lang"].isNotNull() & docs["text"].isNotNull() & (crc_remainder(docs["doc_id"], fold) != held_out)
+    known = docs.filter(usable & (F.octet_length(docs["text"]) <= max_text_bytes))
+    known = known.select(docs["text"].alias("text"), docs["lang"].alias("lang"), F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(1 << 40)).alias("draw"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return fit([], [])
-    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, per_lang / r["count"]) * (1 << 30))))])
-    rows = known.filter(F.col("draw") < F.try_element_at(limits, "lang")).select("doc_id", "text", "lang", "draw").collect()
-    rows.sort(key=lambda r: (r["draw"], str(r["doc_id"]), r["text"]))
-    taken: dict[str, int] = {}
-    chosen = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= 2 * per_lang:  # hashes that collide for repeated ids could give more
-            chosen.append(r)
-    return fit([r["text"] for r in chosen], [r["lang"] for r in chosen], landmarks)
+    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 2 * per_lang / r["count"]) * (1 << 40))))])
+    drawn = known.filter(F.col("draw") < F.try_element_at(limits, "lang")).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    rows = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).collect()
+    rows.sort(key=lambda r: (r["draw"], r["lang"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], landmarks)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,12 +6,16 @@ learning sample; words rare there take their shape's vector. A document is the m
 shapes' vectors with its length. The network has one hidden layer; its logit is divided by a temperature
 fitted on a fifth of the sample that the weights did not see.
 
-Learning reads at most about ``max_labelled`` labelled documents, drawn by a hash of the id, outside the
-held-out remainder of crc32(doc_id). Texts are never shortened.
+Learning collects at most ``max_labelled`` labelled documents, drawn by a hash of the id, outside the held-out
+remainder of crc32(doc_id), one text of each id, none over ``max_text_bytes``. No text is shortened, and all are
+scored whole.
 
 Defined cases: null and empty texts get the score of a document without words; a document with several
 labels counts by their mean; with no labels, or one kind only, every score is the share of label 1 (0.5 if
-none); repeated rows are scored each; extra columns are ignored.
+none), and filtering by a constant under the threshold raises ValueError rather than drop a whole corpus; of
+rows that share a labelled id the text of the least hash is learned from; repeated rows are scored each; an
+empty table gives an empty result; extra columns are ignored, whatever their names, and the filtering form
+passes them on.
 """
 
 from __future__ import annotations
@@ -173,16 +177,16 @@ def fit(texts: list[str], labels: list[float], max_words: int = 20_000) -> Model
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2, max_labelled: int = 3000) -> Model:
-    """Fits on a hash sample of the labelled rows; the sample's ids (bounded) are broadcast to the documents."""
+def learn(docs: DataFrame, labels: DataFrame, fold: int = 4, held_out: int = 2, max_labelled: int = 3000, max_text_bytes: int = 1 << 20) -> Model:
+    """Fits on a bounded hash sample of the labelled rows; the sample's ids are broadcast to the documents."""
     usable = labels.filter(labels["quality"].isNotNull() & labels["doc_id"].isNotNull() & (crc_remainder(labels["doc_id"], fold) != held_out))
-    marked = usable.groupBy(usable["doc_id"].alias("labelled")).agg(F.avg("quality").alias("label")).withColumn("draw", F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)))
-    count = marked.count()
-    if not count:
-        return Model(constant=0.5)
-    sample = marked.filter(F.col("draw") < int(min(1.0, max_labelled / count) * (1 << 30)))
-    rows = docs.select("doc_id", text_or_empty(docs).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label", "draw").collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
+    marked = usable.groupBy(usable["doc_id"].alias("labelled")).agg(F.avg("quality").alias("label")).withColumn("draw", F.xxhash64("labelled"))
+    sample = marked.orderBy("draw", "labelled").limit(max_labelled)
+    text = text_or_empty(docs)
+    given = docs.filter(F.octet_length(text) <= max_text_bytes).select(docs["doc_id"].alias("doc_id"), text.alias("text"))
+    found = given.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).groupBy("draw", "doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text")).alias("least"))
+    rows = found.select("draw", "doc_id", "label", "least.text").collect()
+    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
@@ -201,6 +205,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows scored at the threshold or over, with all their columns."""
+    if model.constant is not None and model.constant < threshold and not docs.isEmpty():
+        raise ValueError("no labels of both kinds to learn from: a constant score would drop every document")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
