@@ -1,12 +1,16 @@
-"""Elias-Fano sequences and an n-gram trie over them, held in one flat, memory-mappable buffer."""
+"""Elias-Fano sequences and an n-gram trie over them, held in one flat buffer that is a mapped file."""
 
 from __future__ import annotations
 
 import mmap
+import os
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
 _WORD = np.uint64(64)
+BLOCK = 1 << 15  # queries answered at a time, so that their working memory stays in the cache
 
 
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -14,21 +18,46 @@ def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(len(values) * width // 64 + 2, dtype=np.uint64)
     if width and len(values):
         at = np.arange(len(values), dtype=np.uint64) * np.uint64(width)
-        word, shift = (at // _WORD).astype(np.int64), at % _WORD
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         np.bitwise_or.at(out, word, values << shift)
-        over = shift + np.uint64(width) > _WORD
+        over = np.flatnonzero(shift + np.uint64(width) > _WORD)
         np.bitwise_or.at(out, word[over] + 1, values[over] >> (_WORD - shift[over]))
     return out
 
 
 def _read_bits(words: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
     if not width:
-        return np.zeros(len(index), dtype=np.int64)
+        return np.zeros(len(index), dtype=np.uint64)
     at = index.astype(np.uint64) * np.uint64(width)
-    word, shift = (at // _WORD).astype(np.int64), at % _WORD
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
     low = words[word] >> shift
-    high = np.where(shift > 0, words[word + 1] << ((_WORD - shift) % _WORD), np.uint64(0))
-    return ((low | high) & np.uint64((1 << width) - 1)).astype(np.int64)
+    high = np.where(shift > 0, words[word + 1] << ((_WORD - shift) & np.uint64(63)), np.uint64(0))
+    return (low | high) & np.uint64((1 << width) - 1)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """A non-decreasing sequence of unsigned numbers in Elias-Fano form, to be read whole."""
+    values = values.astype(np.uint64)
+    n, top = len(values), int(values[-1]) if len(values) else 0
+    width = max(0, (top // n).bit_length() - 1) if n else 0
+    ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    unary = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
+    unary[ones] = 1
+    high = np.packbits(unary, bitorder="little").tobytes()
+    low = _pack_bits(values & np.uint64((1 << width) - 1), width).tobytes()[: -(-n * width // 8)]
+    return struct.pack("<IBI", n, width, len(high)) + high + low
+
+
+def unpack_sorted(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The sequence packed at that place, and the place after it."""
+    n, width, size = struct.unpack_from("<IBI", blob, at)
+    at += 9
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, size, at), bitorder="little"))[:n]
+    at += size
+    length = -(-n * width // 8)
+    words = np.frombuffer(blob[at : at + length] + bytes(16 + -length % 8), dtype="<u8")
+    high = (ones - np.arange(n)).astype(np.uint64) << np.uint64(width)
+    return high | _read_bits(words, np.arange(n), width), at + length
 
 
 class EliasFano:
@@ -44,25 +73,29 @@ class EliasFano:
         width = max(0, (top // n).bit_length() - 1) if n else 0
         low = _pack_bits((values & ((1 << width) - 1)).astype(np.uint64), width)
         ones = (values >> width) + np.arange(n)
-        high = np.zeros((int(ones[-1]) if n else 0) // 64 + 1, dtype=np.uint64)
-        np.bitwise_or.at(high, ones // 64, np.uint64(1) << (ones % 64).astype(np.uint64))
+        unary = np.zeros(((int(ones[-1]) if n else 0) // 64 + 1) * 64, dtype=np.uint8)
+        unary[ones] = 1
+        high = np.packbits(unary, bitorder="little").view("<u8").astype(np.uint64)
         ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
         return cls(n, width, low, high, ranks)
 
     def at(self, index: np.ndarray) -> np.ndarray:
         """Values at an array of places."""
+        return _in_blocks(self._at, index)
+
+    def _at(self, index: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ranks, index, side="right") - 1
         left = index - self.ranks[word]
         bits = self.high[word]
         place = np.zeros(len(index), dtype=np.int64)
         for step in (32, 16, 8, 4, 2, 1):  # the place of the one with that rank in its word, by halving
-            part = bits & np.uint64((1 << step) - 1)
-            ones = np.bitwise_count(part).astype(np.int64)
+            ones = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
             beyond = left >= ones
-            left = np.where(beyond, left - ones, left)
-            place += np.where(beyond, step, 0)
-            bits = np.where(beyond, bits >> np.uint64(step), part)
-        return (word * 64 + place - index) << self.width | _read_bits(self.low, index, self.width)
+            left -= ones * beyond
+            move = beyond * np.int64(step)
+            place += move
+            bits >>= move.astype(np.uint64)
+        return (word * 64 + place - index) << self.width | _read_bits(self.low, index, self.width).astype(np.int64)
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.width], dtype=np.int64), self.low, self.high, self.ranks]
@@ -72,75 +105,98 @@ class EliasFano:
         return cls(int(arrays[0][0]), int(arrays[0][1]), *arrays[1:])
 
 
+def _in_blocks(f: Callable[..., np.ndarray], *arrays: np.ndarray) -> np.ndarray:
+    n = len(arrays[0])
+    if n <= BLOCK:
+        return f(*arrays)
+    return np.concatenate([f(*[a[i : i + BLOCK] for a in arrays]) for i in range(0, n, BLOCK)])
+
+
 class Level:
-    """Successors of each context: monotone pointers, context-relative ids made monotone, quantised values."""
+    """Successors of each context: monotone pointers, context-relative ids made monotone, quantised values.
+
+    An id is raised by the last raised id of the context before, so that all ids together don't decrease.
+    ``codes`` are the quantised probabilities, ``backoffs`` the quantised weights with which an entry, as a
+    context, passes on to the shorter context (none at the last level).
+    """
 
-    def __init__(self, pointers: EliasFano, ids: EliasFano, codes: np.ndarray) -> None:
-        self.pointers, self.ids, self.codes = pointers, ids, codes
+    def __init__(self, pointers: EliasFano, ids: EliasFano, codes: np.ndarray, backoffs: np.ndarray) -> None:
+        self.pointers, self.ids, self.codes, self.backoffs = pointers, ids, codes, backoffs
 
     @classmethod
-    def of(cls, contexts: int, owner: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> Level:
-        """owner and ids sorted by (owner, id); owner is the context's number."""
-        pointers = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=contexts)))) if contexts else np.zeros(1)
-        span = int(ids.max()) + 1 if len(ids) else 1
-        rank = np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1]))) if len(owner) else owner
-        return cls(EliasFano.of(pointers), EliasFano.of(ids + rank * span), codes)
+    def of(cls, contexts: int, owner: np.ndarray, ids: np.ndarray, codes: np.ndarray | None = None) -> Level:
+        """owner (the context's number) and ids in order of (owner, id), no pair twice."""
+        ids = ids.astype(np.int64)
+        pointers = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=contexts)))) if contexts else np.zeros(1, dtype=np.int64)
+        new = np.ones(len(owner), dtype=bool)
+        new[1:] = owner[1:] != owner[:-1]
+        lasts = ids[np.flatnonzero(np.append(new[1:], True))] if len(ids) else ids
+        base = np.concatenate(([0], np.cumsum(lasts)))[:-1][np.cumsum(new) - 1] if len(ids) else ids
+        none = np.zeros(len(ids), dtype=np.uint16)
+        return cls(EliasFano.of(pointers), EliasFano.of(ids + base), none if codes is None else codes, none.copy())
 
     def begin(self, context: np.ndarray) -> np.ndarray:
         return self.pointers.at(context)
 
     def find(self, context: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The entry of each id among its context's successors, by successor search; -1 if there is none."""
-        lo, end = self.pointers.at(context), self.pointers.at(context + 1)
-        some = (end > lo) & (wanted >= 0)
+        """The entry of each id among its context's successors, by successor search; -1 if there is none, or for a negative context or id."""
+        return _in_blocks(self._find, context, wanted)
+
+    def _find(self, context: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         out = np.full(len(context), -1, dtype=np.int64)
-        if not some.any():
+        live = np.flatnonzero((context >= 0) & (wanted >= 0))
+        if not len(live) or not self.ids.n:
             return out
-        lo, hi, want, first = lo[some], end[some], wanted[some], lo[some]
-        # ids were raised by a multiple of the span that is the same for all successors of a context
-        span = self.span
-        want = want + self.ids.at(first) // span * span
-        while (open_ := lo < hi).any():
+        own, which = np.unique(context[live], return_inverse=True)  # each context's range is looked up once
+        first, end = self.pointers.at(own), self.pointers.at(own + 1)
+        base = np.where(first > 0, self.ids.at(np.maximum(first - 1, 0)), 0)
+        lo, hi, want = first[which], end[which], wanted[live] + base[which]
+        keep = lo < hi
+        while True:
+            live, lo, hi, want = live[keep], lo[keep], hi[keep], want[keep]
+            if not len(live):
+                return out
             mid = (lo + hi) >> 1
-            less = np.zeros(len(lo), dtype=bool)
-            less[open_] = self.ids.at(mid[open_]) < want[open_]
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        stop = end[some]
-        hit = lo < stop
-        hit[hit] = self.ids.at(lo[hit]) == want[hit]
-        out[np.flatnonzero(some)[hit]] = lo[hit]
-        return out
-
-    span = 1
+            got = self.ids.at(mid)
+            hit = got == want
+            out[live[hit]] = mid[hit]
+            less = got < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            keep = (lo < hi) & ~hit
 
 
 class Trie:
-    """Levels 2 and up of an n-gram trie over word numbers 0 .. words - 1.
+    """Levels 2 and up of an n-gram trie over word numbers 0 .. words - 1, and the words' own values.
 
     The successors at level 3 and up are numbered by their place among the successors of the context
-    without its first word, so their ids are small. All arrays lie in one buffer, which may be a mapped
-    file or an anonymous mapping.
+    without its first word, so their ids are small. ``mapped`` puts all arrays in one mapped file.
     """
 
-    def __init__(self, levels: list[Level]) -> None:
-        self.levels = levels
+    def __init__(self, levels: list[Level], codes: np.ndarray, backoffs: np.ndarray) -> None:
+        self.levels, self.codes, self.backoffs = levels, codes, backoffs
 
     @classmethod
     def build(cls, words: int, grams: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
         """grams[k]: (rows of k + 2 word numbers, codes), sorted by row; every row's prefix and suffix are a level lower."""
-        trie = cls([])
+        keys: list[np.ndarray] = []
+
+        def numbers(rows: np.ndarray) -> np.ndarray:
+            at = rows[:, 0].astype(np.int64)
+            for k in range(1, rows.shape[1]):
+                at = np.searchsorted(keys[k - 1], at * words + rows[:, k])
+            return at
+
+        levels, starts = [], []
         for k, (rows, codes) in enumerate(grams):
-            if k == 0:
-                owner, ids, contexts = rows[:, 0], rows[:, 1], words
-            else:
-                owner, contexts = trie.entry(rows[:, :-1]), len(grams[k - 1][1])
-                ids = trie.entry(rows[:, 1:])
-                ids = ids - trie.levels[k - 1].begin(trie.context(rows[:, 1:-1]))
-            order = np.lexsort((ids, owner))
-            level = Level.of(contexts, owner[order], ids[order], codes[order])
-            level.span = int(ids.max()) + 1 if len(ids) else 1
-            trie.levels.append(level)
-        return trie
+            owner, ids = numbers(rows[:, :-1]), numbers(rows[:, 1:])
+            if k:
+                ids = ids - starts[k - 1][numbers(rows[:, 1:-1])]
+            contexts = len(grams[k - 1][1]) if k else words
+            keys.append(owner * words + rows[:, -1])
+            starts.append(np.searchsorted(owner, np.arange(contexts + 1)))
+            levels.append(Level.of(contexts, owner, ids, codes))
+        none = np.zeros(words, dtype=np.uint16)
+        return cls(levels, none, none.copy())
 
     def context(self, rows: np.ndarray) -> np.ndarray:
         """The number of a context: the word itself, or its entry."""
@@ -150,27 +206,34 @@ class Trie:
         """The entry of each n-gram (a row of word numbers) at its level, -1 if absent."""
         k = rows.shape[1] - 2
         before = self.context(rows[:, :-1])
+        return self.longer(k, before, rows[:, 1] if k == 0 else self.entry(rows[:, 1:]), self.context(rows[:, 1:-1]) if k else None)
+
+    def longer(self, k: int, before: np.ndarray, shorter: np.ndarray, middle: np.ndarray | None) -> np.ndarray:
+        """Entries at level k of n-grams given by the number of their context, of the n-gram without its first word, and of the words between."""
         if k == 0:
-            return self.levels[0].find(before, rows[:, 1])
-        shorter = self.entry(rows[:, 1:])
-        parent = self.context(rows[:, 1:-1])
-        relative = np.where((shorter >= 0) & (parent >= 0), shorter - self.levels[k - 1].begin(np.maximum(parent, 0)), -1)
-        relative[before < 0] = -1
-        return self.levels[k].find(np.maximum(before, 0), relative)
-
-    def mapped(self) -> Trie:
-        """The same trie over an anonymous memory mapping."""
-        arrays = [[*lv.pointers.arrays(), *lv.ids.arrays(), lv.codes, np.array([lv.span])] for lv in self.levels]
-        size = sum(a.nbytes + 64 for lv in arrays for a in lv)
-        buffer, at, out = mmap.mmap(-1, max(1, size)), 0, []
-        for lv in arrays:
-            own = []
-            for a in lv:
-                view = np.frombuffer(buffer, dtype=a.dtype, count=len(a), offset=at)
-                view[:] = a
-                own.append(view)
-                at += -(-a.nbytes // 64) * 64
-            level = Level(EliasFano.over(own[:4]), EliasFano.over(own[4:8]), own[8])
-            level.span = int(own[9][0])
-            out.append(level)
-        return Trie(out)
+            return self.levels[0].find(before, shorter)
+        known = (shorter >= 0) & (middle >= 0)
+        relative = np.full(len(shorter), -1, dtype=np.int64)
+        relative[known] = shorter[known] - self.levels[k - 1].begin(middle[known])
+        return self.levels[k].find(before, relative)
+
+    def mapped(self, path: str | None = None) -> Trie:
+        """The same trie over a mapped file: at the given path, or else a file in memory, which leaves nothing behind."""
+        arrays = [self.codes, self.backoffs]
+        for lv in self.levels:
+            arrays += [*lv.pointers.arrays(), *lv.ids.arrays(), lv.codes, lv.backoffs]
+        size = max(1, sum(-(-a.nbytes // 64) * 64 for a in arrays))
+        fd = os.memfd_create("trie") if path is None else os.open(path, os.O_RDWR | os.O_CREAT | os.O_TRUNC, 0o600)
+        try:
+            os.ftruncate(fd, size)
+            buffer = mmap.mmap(fd, size)
+        finally:
+            os.close(fd)
+        at, views = 0, []
+        for a in arrays:
+            view = np.frombuffer(buffer, dtype=a.dtype, count=a.size, offset=at)
+            view[:] = a
+            views.append(view)
+            at += -(-a.nbytes // 64) * 64
+        levels = [Level(EliasFano.over(own[:4]), EliasFano.over(own[4:8]), own[8], own[9]) for own in (views[i : i + 10] for i in range(2, len(views), 10))]
+        return Trie(levels, views[0], views[1])

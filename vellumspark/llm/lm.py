@@ -1,25 +1,30 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Tokens are words of the text in lower case (A-Z), then one end. The model interpolates relative frequencies
-of the longer orders (2 and 3, or 2 alone) with the add-one unigram model. Counts are taken over all training documents and are
-exact for the order they cover; their keys are 64-bit hashes for words and 40 bits beside the bucket for
-longer n-grams, so that a foreign n-gram is met with a chance of about its number in the corpus over 2^46
-or less.
-
-Documents are dealt by hash into chunks of about ``chunk_chars`` characters. A chunk writes its distinct
-n-grams, with its own training counts, as sorted blocks, one per bucket of the key space; a bucket adds up
-the counts of all chunks and sends back to each chunk the totals of just its n-grams, in the same order, and
-its share of the corpus totals. A hot word is one entry per chunk there, so no key is heavy. From the answers
-a chunk builds a trie of the n-grams its documents can ask for: Elias-Fano pointers and context-relative
-successor ids, with the relative frequencies quantised to 16 bits on a log scale, in one memory mapping. All
-its documents are scored from that. Chunk, bucket and trie have a bounded size whatever the corpus's.
+of the longer orders (2 and 3, or 2 alone) with the add-one unigram model. Counts are taken over all training
+documents; they are exact but for n-grams whose hashed keys meet: words have 64 bits, longer n-grams 13 bits
+more than the corpus has characters (40 at least), so that about one foreign n-gram in 50,000 is taken for a
+known one, whatever the size.
+
+Rows are dealt by their number into chunks of about ``chunk_chars`` characters. A chunk writes its distinct
+n-grams, with its own training counts, as sorted blocks, one per bucket of the key space that it has any in: the
+keys in Elias-Fano form, about 3 bytes each, the counts one byte. A bucket adds up the counts of all chunks and
+sends back to each chunk what the other chunks add to just its n-grams, in the same order. A hot word is one
+entry per chunk there, and repeated rows are spread, so no key is heavy; there are as many buckets as chunks, so
+chunk, bucket and trie have a bounded size whatever the corpus's, and rows sent are at most the n-grams.
+
+From the answers a chunk builds a trie of the n-grams its documents can ask for: Elias-Fano pointers and
+context-relative successor ids, smoothed probabilities and backoff weights quantised to 16 bits on a log scale,
+all in one mapped file (in memory, so that nothing stays behind on an executor). All its documents are scored
+by successor search in that: the longest n-gram found gives the probability, shorter ones are weighted by the
+backoffs of the contexts passed.
 
 How far to trust the longer contexts is chosen among the few ``PROFILES`` by the likelihood of the training
 tokens with their own occurrence left out, summed over the whole corpus; one profile is the unigram model.
 
 Defined cases: a null text counts as empty, one end token; a null id belongs to the remainder of the empty
-text; repeated rows count and are scored each; with no training token every word is unknown; extra columns
-are ignored; an empty table gives an empty result.
+text; repeated rows count and are scored each; texts of any length are scored whole; with no training token
+every word is unknown; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,20 +39,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import crc_remainder, cut, text_or_empty
-from vellumspark.llm.elias_fano import Trie
+from vellumspark.llm.elias_fano import Level, Trie, pack_sorted, unpack_sorted
 
 #: Weight of a longer context seen c times: a * c / (c + s), for orders 2 and 3.
 WEIGHTS = {2: ((0.0, 1.0), (0.15, 8.0), (0.35, 4.0), (0.6, 2.0), (0.85, 1.0)), 3: ((0.0, 1.0), (0.5, 1.0), (0.9, 0.5))}
 PROFILES = {2: [(x, (0.0, 1.0)) for x in WEIGHTS[2]], 3: list(itertools.product(WEIGHTS[2], WEIGHTS[3]))}
 STEPS = 1200  # quantisation steps per factor of two
 END = b""
-BLOCK = 1 << 16
-KEY_BYTES = 5
-SENT = "chunk int, bucket int, k1 binary, c1 binary, k2 binary, c2 binary, k3 binary, c3 binary"
-ANSWER = "chunk int, bucket int, t1 binary, t2 binary, t3 binary, n long, v long"
+LEAST_BITS, MORE_BITS = 40, 13
+SENT = "chunk int, bucket int, blob binary"
+ANSWER = "chunk int, blob binary, bucket int"
 SCORED = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, scores array<double>, left_out array<double>"
 
 
+def key_bits(chars: int) -> int:
+    """Bits of the keys of n-grams of order 2 and up in a corpus of so many characters."""
+    return min(64, max(LEAST_BITS, chars.bit_length() + MORE_BITS))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -56,7 +65,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """A chunk's tokens, its distinct n-grams of orders 1 to 2 or 3 and their counts in its training documents."""
+    """A chunk's tokens, its distinct n-grams of orders 1 to 2 or 3, their keys and their counts in its training documents."""
 
     def __init__(self, texts: list[str], held: np.ndarray, order: int) -> None:
         numbers: dict[bytes, int] = defaultdict()
@@ -68,203 +77,293 @@ class Grams:
             ids.append(end)
             parts.append(np.array(ids, dtype=np.int32))
             lengths.append(len(ids))
-        self.tokens = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
+        self.tokens = t = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         self.lengths = np.array(lengths, dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(lengths)), self.lengths)
-        self.train = ~held[self.doc]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(~held, self.lengths)
         self.words = len(numbers)
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=self.words)
         del numbers, parts
-        t, same = self.tokens, self.doc[1:] == self.doc[:-1]
         self.keys, self.counts, self.of_token = [h], [np.bincount(t[self.train], minlength=self.words)], [t]
-        self.rows: list[np.ndarray] = []
-        place = np.flatnonzero(same) + 1  # tokens with one token before them
-        pair, inverse = np.unique(t[place - 1] * self.words + t[place], return_inverse=True)
-        first, second = pair // self.words, pair % self.words
-        self._order(_mix(h[first] * np.uint64(0x9E3779B97F4A7C15) + h[second]), np.stack((first, second), axis=1), place, inverse)
+        inside = np.ones(len(t), dtype=bool)  # tokens with one token before them
+        inside[self.starts] = False
+        place = np.flatnonzero(inside)
+        pair, inverse = np.unique(t[place - 1].astype(np.int64) * self.words + t[place], return_inverse=True)
+        self.first, self.second = (pair // self.words).astype(np.int32), (pair % self.words).astype(np.int32)
+        self._order(_mix(h[self.first] * np.uint64(0x9E3779B97F4A7C15) + h[self.second]), place, inverse)
         if order < 3:
             return
         of_pair = self.of_token[1]
-        place = np.flatnonzero(same[1:] & same[:-1]) + 2
-        triple, inverse = np.unique(of_pair[place - 1] * self.words + t[place], return_inverse=True)
-        first, last = triple // self.words, triple % self.words
-        self._order(_mix(self.keys[1][first] * np.uint64(0xD6E8FEB86659FD93) + h[last]), np.column_stack((self.rows[0][first], last)), place, inverse)
-
-    def _order(self, keys: np.ndarray, rows: np.ndarray, place: np.ndarray, inverse: np.ndarray) -> None:
+        inside[self.starts[self.lengths > 1] + 1] = False
+        place = np.flatnonzero(inside)
+        triple, inverse = np.unique(of_pair[place - 1].astype(np.int64) * self.words + t[place], return_inverse=True)
+        self.front = (triple // self.words).astype(np.int32)
+        self.back = np.zeros(len(triple), dtype=np.int32)  # the pair without the first word
+        self.back[inverse] = of_pair[place]
+        self._order(_mix(self.keys[1][self.front] * np.uint64(0xD6E8FEB86659FD93) + h[self.second[self.back]]), place, inverse)
+
+    def _order(self, keys: np.ndarray, place: np.ndarray, inverse: np.ndarray) -> None:
         self.keys.append(keys)
-        self.rows.append(rows)
         self.counts.append(np.bincount(inverse[self.train[place]], minlength=len(keys)))
-        of = np.full(len(self.tokens), -1, dtype=np.int64)
+        of = np.full(len(self.tokens), -1, dtype=np.int32)
         of[place] = inverse
         self.of_token.append(of)
 
-    def blocks(self, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order in which the n-grams are sent, and where each bucket's begin."""
-        keys = self.keys[order - 1]
-        bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        short = keys if order == 1 else keys & np.uint64((1 << 40) - 1)
-        by = np.lexsort((short, bucket))
-        return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+    def sorted_keys(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, their counts, and for each n-gram the place of its key."""
+        keys = self.keys[order - 1] if order == 1 else self.keys[order - 1] >> np.uint64(64 - bits)
+        by = np.argsort(keys)
+        keys = keys[by]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        place = np.empty(len(keys), dtype=np.int32)
+        place[by] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        counts = np.add.reduceat(self.counts[order - 1][by], at) if len(at) else np.zeros(0, dtype=np.int64)
+        return keys[at], counts, place
+
+
+def _bucket(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Ranges of the key space, by the upper 32 bits."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
 
+def _begin(bucket: int, bits: int, buckets: int) -> int:
+    return -(-(bucket << 32) // buckets) << (bits - 32)
 
-def _key_bytes(keys: np.ndarray, order: int) -> bytes:
-    if order == 1:
-        return keys.astype("<u8").tobytes()
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte each; larger ones stand after all bytes."""
+    large = counts[counts >= 255]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u8").tobytes()
 
-def _keys_from(blob: bytes, order: int) -> np.ndarray:
-    if order == 1:
-        return np.frombuffer(blob, dtype="<u8")
-    out = np.zeros((len(blob) // KEY_BYTES, 8), dtype=np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").reshape(-1)
 
+def _unpack_counts(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    counts = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
+    large = np.flatnonzero(counts == 255)
+    counts[large] = np.frombuffer(blob[at + n : at + n + 8 * len(large)], "<u8")
+    return counts, at + n + 8 * len(large)
 
-def _send(key: tuple, docs: pd.DataFrame, buckets: int, most: int) -> pd.DataFrame:
+
+def _send(key: tuple, docs: pd.DataFrame, buckets: int, most: int, bits: int) -> pd.DataFrame:
     grams = Grams(docs["text"].tolist(), docs["held_out"].to_numpy(dtype=bool), most)
-    columns: dict[str, list] = {"chunk": [int(key[0])] * buckets, "bucket": list(range(buckets)), "k3": [b""] * buckets, "c3": [b""] * buckets}
+    blobs: dict[int, list[bytes]] = {}
     for order in range(1, most + 1):
-        by, cuts = grams.blocks(order, buckets)
-        keys, counts = grams.keys[order - 1][by], grams.counts[order - 1][by].astype("<u4")
-        columns[f"k{order}"] = [_key_bytes(keys[a:b], order) for a, b in zip(cuts, cuts[1:])]
-        columns[f"c{order}"] = [counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pd.DataFrame(columns)[[c.split()[0] for c in SENT.split(", ")]]
-
-
-def _add_up(key: tuple, sent: pd.DataFrame, chunks: int) -> pd.DataFrame:
-    """Totals of a bucket's n-grams, for each chunk in the order it sent them."""
-    columns: dict[str, list] = {"chunk": list(range(chunks)), "bucket": [int(key[0])] * chunks}
-    n = v = 0
-    for order in (1, 2, 3):
-        each = [_keys_from(b, order) for b in sent[f"k{order}"]]
-        counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in sent[f"c{order}"]]).astype(np.int64)
-        distinct, inverse = np.unique(np.concatenate(each), return_inverse=True)
-        totals = np.zeros(len(distinct), dtype=np.int64)
-        np.add.at(totals, inverse, counts)
-        if order == 1:
-            n, v = int(totals.sum()), int((totals > 0).sum())
-        found, cuts = totals[inverse].astype("<u4"), np.cumsum([0, *map(len, each)])
-        answers = [b""] * chunks
-        for chunk, a, b in zip(sent["chunk"], cuts, cuts[1:]):
-            answers[chunk] = found[a:b].tobytes()
-        columns[f"t{order}"] = answers
-    return pd.DataFrame(columns | {"n": [n] * chunks, "v": [v] * chunks})
+        width = 64 if order == 1 else bits
+        keys, counts, _ = grams.sorted_keys(order, width)
+        bucket = _bucket(keys, width, buckets)
+        some, cuts = np.unique(bucket, return_index=True)
+        for b, lo, hi in zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+            own = blobs.setdefault(b, [b""] * most)
+            own[order - 1] = pack_sorted(keys[lo:hi] - np.uint64(_begin(b, width, buckets))) + _pack_counts(counts[lo:hi])
+    none = pack_sorted(np.zeros(0, dtype=np.uint64))
+    rows = [(int(key[0]), b, b"".join(x or none for x in own)) for b, own in blobs.items()]
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
+
+
+def _read(blob: bytes, orders: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of a block, for orders 1 to ``orders``."""
+    at, out = 0, []
+    for _ in range(orders):
+        keys, at = unpack_sorted(blob, at)
+        counts, at = _unpack_counts(blob, at, len(keys))
+        out.append((keys, counts))
+    return out
+
+
+def _count_words(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
+    """Training tokens and distinct training tokens of a bucket."""
+    read = [_read(b, 1)[0] for b in sent["blob"]]
+    counts = np.concatenate([c for _, c in read])
+    seen = np.unique(np.concatenate([k for k, _ in read])[counts > 0])
+    return pd.DataFrame({"n": [int(counts.sum())], "v": [len(seen)]})
+
+
+def _add_up(key: tuple, sent: pd.DataFrame, most: int) -> pd.DataFrame:
+    """For each chunk's n-grams of a bucket, in the order it sent them, the counts that other chunks add."""
+    read = [_read(b, most) for b in sent["blob"]]
+    answers = [[] for _ in read]
+    for order in range(most):
+        keys = np.concatenate([r[order][0] for r in read])
+        counts = np.concatenate([r[order][1] for r in read])
+        cuts = np.cumsum([0, *[len(r[order][0]) for r in read]])
+        for r in read:
+            r[order] = None
+        by = np.argsort(keys)
+        new = np.ones(len(by), dtype=bool)
+        keys = keys[by]
+        new[1:] = keys[1:] != keys[:-1]
+        sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(by) else counts
+        others = np.empty(len(by), dtype=np.int64)
+        others[by] = sums[np.cumsum(new) - 1]
+        others -= counts
+        for own, a, b in zip(answers, cuts, cuts[1:]):
+            own.append(_pack_counts(others[a:b]))
+    return pd.DataFrame({"chunk": sent["chunk"].to_numpy(), "blob": [b"".join(x) for x in answers], "bucket": [int(key[0])] * len(read)})
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
     """16-bit codes of probabilities on a log scale; the error is under 0.03 %."""
-    return np.minimum(np.round(-np.log2(p) * STEPS), 65535).astype(np.uint16)
-
-
-def dequantise(codes: np.ndarray) -> np.ndarray:
-    return np.exp2(-codes.astype(np.float64) / STEPS)
-
-
-def _trie(grams: Grams, totals: list[np.ndarray]) -> Trie:
-    """The chunk's trie of n-grams met in training, with relative frequencies."""
-    two = totals[1]
-    keep2 = np.flatnonzero((two > 0) & (totals[0][grams.rows[0][:, 0]] > 0))
-    pairs = grams.rows[0]
-    level2 = (pairs[keep2], quantise(np.minimum(1, two[keep2] / totals[0][pairs[keep2, 0]])))
-    base = Trie.build(grams.words, [level2])
-    if len(totals) < 3:
-        return base.mapped()
-    three = totals[2]
-    keep3 = np.flatnonzero(three > 0)
-    rows3 = grams.rows[1][keep3]
-    front, back = _entries(base, rows3[:, :2]), _entries(base, rows3[:, 1:])
-    sound = (front >= 0) & (back >= 0)
-    keep3, rows3 = keep3[sound], rows3[sound]
-    code = rows3[:, 0] * grams.words + rows3[:, 1]
-    known = pairs[keep2, 0] * grams.words + pairs[keep2, 1]
-    context = two[keep2][np.searchsorted(known, code)] if len(code) else np.zeros(0)
-    level3 = (rows3, quantise(np.minimum(1, three[keep3] / np.maximum(1, context))))
-    return Trie.build(grams.words, [level2, level3]).mapped()
-
-
-def _entries(trie: Trie, rows: np.ndarray) -> np.ndarray:
-    """Trie lookups in blocks, to keep their working memory small."""
-    return np.concatenate([trie.entry(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]) if len(rows) else np.zeros(0, dtype=np.int64)
-
-
-def _frequencies(trie: Trie, k: int, rows: np.ndarray) -> np.ndarray:
-    at = _entries(trie, rows)
-    out = np.zeros(len(rows))
-    out[at >= 0] = dequantise(trie.levels[k].codes[at[at >= 0]])
-    return out
+    return np.minimum(np.round(np.log2(p) * -STEPS), 65535).astype(np.uint16)
 
 
 def _weight(c: np.ndarray, of: tuple[float, float]) -> np.ndarray:
     return of[0] * c / (c + of[1])
 
 
-def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, buckets: int, most: int) -> pd.DataFrame:
+class Model:
+    """A chunk's part of the corpus model: the trie of its n-grams that training documents hold."""
+
+    def __init__(self, grams: Grams, totals: list[np.ndarray], n: int, v: int) -> None:
+        self.totals, self.order = totals, len(totals)
+        one, two = totals[0], totals[1]
+        self.unigram = (one + 1) / (n + v + 1)
+        keep = np.flatnonzero((two > 0) & (one[grams.first] > 0))
+        self.first, self.second, self.pairs = grams.first[keep], grams.second[keep], two[keep]
+        levels = [Level.of(grams.words, self.first, self.second)]
+        if self.order > 2:
+            entry = np.full(len(two), -1, dtype=np.int64)
+            entry[keep] = np.arange(len(keep))
+            front, back = entry[grams.front], entry[grams.back]
+            keep = np.flatnonzero((totals[2] > 0) & (front >= 0) & (back >= 0))
+            self.front, self.back, self.triples = front[keep], back[keep], totals[2][keep]
+            starts = np.searchsorted(self.first, np.arange(grams.words + 1))
+            levels.append(Level.of(len(self.pairs), self.front, self.back - starts[self.first[self.back]]))
+            del entry, front, back, starts
+        words = np.zeros(grams.words, dtype=np.uint16)
+        self.trie = Trie(levels, words, words.copy()).mapped()
+
+    def smooth(self, two: tuple[float, float]) -> None:
+        """Writes smoothed probabilities of orders 1 and 2, and the words' backoffs, for the weight of one word of context."""
+        w = _weight(self.totals[0].astype(np.float64), two)
+        self.trie.codes[:], self.trie.backoffs[:] = quantise(self.unigram), quantise(1 - w)
+        own = w[self.first]
+        self.level2 = own * np.minimum(1, self.pairs / np.maximum(1, self.totals[0][self.first])) + (1 - own) * self.unigram[self.second]
+        self.trie.levels[0].codes[:] = quantise(self.level2)
+
+    def smooth_longer(self, three: tuple[float, float]) -> None:
+        """The same for order 3 and the pairs' backoffs."""
+        w = _weight(self.pairs.astype(np.float64), three)
+        self.trie.levels[0].backoffs[:] = quantise(1 - w)
+        own = w[self.front]
+        self.trie.levels[1].codes[:] = quantise(own * np.minimum(1, self.triples / self.pairs[self.front]) + (1 - own) * self.level2[self.back])
+
+
+def _scores(grams: Grams, model: Model) -> list[np.ndarray]:
+    """Log10 probabilities of the documents under each profile, by search in the trie."""
+    trie, t = model.trie, grams.tokens
+    pair, before = grams.of_token[1], np.concatenate(([-1], t[:-1]))
+    before[grams.starts] = -1
+    found2 = trie.longer(0, grams.first, grams.second, None)
+    two = np.append(found2, -1)[pair]
+    if model.order > 2:
+        triple = grams.of_token[2]
+        found3 = trie.longer(1, found2[grams.front], found2[grams.back], grams.second[grams.front])
+        three = np.append(found3, -1)[triple]
+        context = np.concatenate(([-1], two[:-1]))
+        context[grams.starts] = -1
+        del found3
+    del found2
+    out = []
+    scale = -np.log10(2) / STEPS
+    with_none = lambda codes: np.append(codes.astype(np.int32), 0)  # noqa: E731 - place -1 is "no context"
+    for w2 in WEIGHTS[2]:
+        model.smooth(w2)
+        lower = np.where(two >= 0, with_none(trie.levels[0].codes)[two], with_none(trie.backoffs)[before] + with_none(trie.codes)[t])
+        if model.order < 3:
+            out.append(np.add.reduceat(lower.astype(np.int64), grams.starts) * scale)
+            continue
+        for w3 in WEIGHTS[3]:
+            model.smooth_longer(w3)
+            total = np.where(three >= 0, with_none(trie.levels[1].codes)[three], with_none(trie.levels[0].backoffs)[context] + lower)
+            out.append(np.add.reduceat(total.astype(np.int64), grams.starts) * scale)
+    return out
+
+
+def _left_out(grams: Grams, totals: list[np.ndarray], n: int, v: int) -> np.ndarray:
+    """For each profile the log10 likelihood of the chunk's training tokens, each with its own occurrence left out."""
+    most = len(totals)
+    out = np.zeros(len(PROFILES[most]))
+    totals = [np.append(t, 0) for t in totals]  # one more for "no such n-gram", at place -1
+    first = np.append(grams.first, -1)
+    step = 1 << 16
+    for lo in range(0, len(grams.tokens), step):
+        at = lo + np.flatnonzero(grams.train[lo : lo + step])
+        pair = grams.of_token[1][at]
+        l1 = np.maximum(totals[0][grams.tokens[at]], 1) / max(1, n + v)
+        c1 = np.maximum(totals[0][first[pair]] - 1, 0)
+        f2 = np.maximum(totals[1][pair] - 1, 0) / np.maximum(c1, 1)
+        if most > 2:
+            triple = grams.of_token[2][at]
+            c2 = np.where(triple >= 0, np.maximum(totals[1][grams.of_token[1][at - 1]] - 1, 0), 0)
+            f3 = np.maximum(totals[2][triple] - 1, 0) / np.maximum(c2, 1)
+            weights = [_weight(c2, w3) for w3 in WEIGHTS[3]]
+        k = 0
+        for w2 in WEIGHTS[2]:
+            w = _weight(c1, w2)
+            q = w * f2 + (1 - w) * l1
+            for w in weights if most > 2 else (0.0,):
+                out[k] += np.log10(w * f3 + (1 - w) * q if most > 2 else q).sum()
+                k += 1
+    return out
+
+
+def _score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame, most: int, bits: int) -> pd.DataFrame:
     if not len(docs):
         return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
-    held = docs["held_out"].to_numpy(dtype=bool)
-    grams = Grams(docs["text"].tolist(), held, most)
+    ids, held = docs["doc_id"].to_numpy(), docs["held_out"].to_numpy(dtype=bool)
+    texts = docs["text"].tolist()
+    del docs
+    grams = Grams(texts, held, most)
+    del texts
     answers = answers.sort_values("bucket")
-    n, v = int(answers["n"].sum()), int(answers["v"].sum())
+    n, v = int(answers["n"].iloc[0]), int(answers["v"].iloc[0])
+    blobs, buckets, at = answers["blob"].tolist(), int(answers["buckets"].iloc[0]), [0] * len(answers)
+    numbers = answers["bucket"].to_numpy()
+    del answers
     totals = []
     for order in range(1, most + 1):
-        by, _ = grams.blocks(order, buckets)
-        got = np.zeros(len(by) + 1, dtype=np.int64)  # one more for "no such n-gram", at place -1
-        got[by] = np.frombuffer(b"".join(answers[f"t{order}"]), dtype="<u4")
-        totals.append(got)
-    trie = _trie(grams, [t[:-1] for t in totals])
-    frequency = [np.append(_frequencies(trie, k, rows), 0.0) for k, rows in enumerate(grams.rows)]
-    first = np.append(grams.rows[0][:, 0], 0)
-    profiles, size = PROFILES[most], len(held)
-    scores, left = np.zeros((size, len(profiles))), np.zeros((size, len(profiles)))
-    known = np.bincount(grams.doc, weights=totals[0][grams.tokens] > 0, minlength=size)
-    base = np.bincount(grams.doc, weights=np.log10((totals[0] + 1) / (n + v + 1))[grams.tokens], minlength=size)
-    for lo in range(0, len(grams.tokens), BLOCK):
-        part = slice(lo, lo + BLOCK)
-        t, doc, train, pair = grams.tokens[part], grams.doc[part], grams.train[part], grams.of_token[1][part]
-        own, c1, n2, f2 = totals[0][t], np.where(pair >= 0, totals[0][first[pair]], 0), totals[1][pair], frequency[0][pair]
-        p1 = (own + 1) / (n + v + 1)
-        if most > 2:
-            before = np.concatenate(([grams.of_token[1][lo - 1] if lo else -1], pair[:-1]))
-            triple = grams.of_token[2][part]
-            c2, n3, f3 = np.where(triple >= 0, totals[1][before], 0), totals[2][triple], frequency[1][triple]
-        # with the token's own occurrence left out
-        l1, lc1 = np.maximum(own, 1) / max(1, n + v), np.maximum(c1 - 1, 0)
-        lf2 = np.maximum(n2 - 1, 0) / np.maximum(lc1, 1)
-        for k, (w2, w3) in enumerate(profiles):
-            w = _weight(c1, w2)
-            p, w = w * f2 + (1 - w) * p1, _weight(lc1, w2)
-            q = w * lf2 + (1 - w) * l1
-            if most > 2:
-                w, lc2 = _weight(c2, w3), np.maximum(c2 - 1, 0)
-                p, w = w * f3 + (1 - w) * p, _weight(lc2, w3)
-                q = w * np.maximum(n3 - 1, 0) / np.maximum(lc2, 1) + (1 - w) * q
-            scores[:, k] += np.bincount(doc, weights=np.log10(p), minlength=size)
-            left[:, k] += np.bincount(doc, weights=np.where(train, np.log10(q), 0), minlength=size)
+        width = 64 if order == 1 else bits
+        keys, counts, place = grams.sorted_keys(order, width)
+        cuts = np.searchsorted(_bucket(keys, width, buckets), numbers.astype(np.uint64))
+        for i, (blob, a, b) in enumerate(zip(blobs, cuts.tolist(), [*cuts[1:].tolist(), len(keys)])):
+            others, at[i] = _unpack_counts(blob, at[i], b - a)
+            counts[a:b] += others
+        totals.append(counts[place])
+        grams.keys[order - 1] = None
+    del blobs, keys, counts, place
+    left = _left_out(grams, totals, n, v)
+    model = Model(grams, totals, n, v)
+    scores = np.stack(_scores(grams, model), axis=1)
+    known = np.add.reduceat((totals[0] > 0).astype(np.int64)[grams.tokens], grams.starts)
+    base = np.add.reduceat(np.log10(model.unigram)[grams.tokens], grams.starts)
     return pd.DataFrame(
         {
-            "doc_id": docs["doc_id"].to_numpy(),
+            "doc_id": ids,
             "held_out": held,
             "n_tokens": grams.lengths,
-            "n_known": known.astype(np.int64),
-            "train_tokens": np.full(size, n),
+            "n_known": known,
+            "train_tokens": np.full(len(held), n),
             "base_score": base,
             "scores": list(scores),
-            "left_out": list(left),
+            "left_out": [left] + [None] * (len(held) - 1),
         }
     )
 
 
 def score(docs: DataFrame, fold: int = 7, held_out: int = 2, order: int = 3, chunk_chars: int = 6_000_000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))  # ids go through pandas as text, to keep nulls and large numbers whole
-    chars = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = int(chars // chunk_chars) + 1
-    buckets = chunks // 2 + 1
-    dealt = given.withColumn("held_out", crc_remainder(F.col("doc_id"), fold) == held_out).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    sent = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: _send(key, pdf, buckets, order), SENT)
-    answers = sent.groupBy("bucket").applyInPandas(lambda key, pdf: _add_up(key, pdf, chunks), ANSWER)
-    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, d, a: _score(key, d, a, buckets, order), SCORED))
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    chars = int(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    chunks, bits = chars // chunk_chars + 1, key_bits(chars)
+    marked = given.withColumn("held_out", crc_remainder(F.col("doc_id"), fold) == held_out)
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")  # by number: equal rows are spread
+    dealt = marked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "held_out", chunk.alias("chunk"))  # ids go through pandas as text, to keep nulls and large numbers whole
+    sent = dealt.groupBy("chunk").applyInPandas(lambda key, pdf: _send(key, pdf, chunks, order, bits), SENT)
+    counted = sent.groupBy("bucket").applyInPandas(_count_words, "n long, v long").agg(F.struct(F.sum("n").alias("n"), F.sum("v").alias("v")).alias("both")).scalar()
+    answers = sent.groupBy("bucket").applyInPandas(lambda key, pdf: _add_up(key, pdf, order), ANSWER)
+    answers = answers.select("chunk", "bucket", "blob", counted["n"].alias("n"), counted["v"].alias("v"), F.lit(chunks).alias("buckets"))
+    scored = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda key, d, a: _score(key, d, a, order, bits), SCORED))
     sums = scored.agg(*[F.sum(F.get("left_out", F.lit(k))).alias(f"p{k}") for k in range(len(PROFILES[order]))]).first()
     best = max(range(len(PROFILES[order])), key=lambda k: (sums[k] if sums[k] is not None else 0.0, -k))
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.get("scores", F.lit(best)).alias("score"))
