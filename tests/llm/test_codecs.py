@@ -174,13 +174,156 @@ def test_extract_rules():
     assert html_extract.extract("<" * 3000 + "p>") is not None
 
 
-def test_wrapper_covers_its_pages():
-    pages = [f"<body><nav><ul>{'<li><a>x</a>' * k}</ul></nav><article><h1>t</h1>{'<p>a</p>' * (k + 1)}{'<ul><li>q</ul>' if k % 2 else ''}</article></body>" for k in range(1, 6)]
-    shapes = [html_extract.skeleton([t[0] for t in html_extract.tokens(p)]) for p in pages]
-    wrapper = html_extract.infer(shapes)
-    compiled = html_extract._compiled(wrapper, {})
-    assert wrapper and sum(html_extract.region(s, compiled) == "<article A" for s in shapes) >= 3
-    assert all(html_extract.extract(p, compiled) == html_extract.extract(p) for p in pages)
+def words_of(rng, n):
+    return " ".join(f"{rng.choice(('alpha', 'beta', 'gamma', 'delta'))}{rng.randint(0, 999)}" for _ in range(n))
+
+
+def unmarked(rng, paragraphs, odd=False):
+    """A page whose names say nothing: only repetition over the host's pages tells what is the article."""
+    body = "".join(f"<p>{words_of(rng, 30)}</p>" for _ in range(paragraphs)) + ("<ul><li>one<li>two</ul>" if odd else "")
+    return f"<body><div class=c1><div>Home</div><div>About us</div></div><div class=c2><h1>{words_of(rng, 5)}</h1><div class=c3>{body}</div><div class=c9>Share this story</div></div><div class=c4>All rights</div>"
+
+
+def naive_match(items, marks, at, same):
+    """All places where the items can end, from the definition of the expression, with going back."""
+    ends = {at}
+    for x in items:
+        if isinstance(x, str):
+            text = {e + 1 for e in ends if e < len(marks) and (marks[e] == x or (x == "#" and marks[e][0] in "#="))}
+            ends = text | ends if x[0] == "=" else text
+            continue
+        kind, inner = x
+        once = set() if kind == "+" else set(ends)
+        step, seen = set(ends), set()
+        while step:
+            step = set().union(*[naive_match(inner, marks, e, same) for e in step]) - seen
+            seen |= step
+            if kind == "?":
+                break
+        ends = once | seen
+    return ends
+
+
+def test_alignment_covers_its_pages():
+    """The aligned expression takes each page it was made of, by a matcher that goes back; the wrapper's expression takes nothing else."""
+    rng = random.Random(3)
+    pages = [html_extract.read(unmarked(rng, k % 4 + 1, k % 3 == 0)) for k in range(9)]
+    same = html_extract.shared_texts(pages)
+    items = []
+    for p in pages:
+        marks = html_extract.collapse(html_extract.skeleton(p, same)[0])
+        items = html_extract.align(items, marks) if items else marks
+    wrapper = html_extract.Wrapper(html_extract.infer(pages))
+    fit = 0
+    for p in [*pages, *[html_extract.read(unmarked(rng, k)) for k in range(1, 7)], html_extract.read("<body><div class=c1>x</div><table><tr><td>y</table>")]:
+        marks = html_extract.skeleton(p, same)[0]
+        naive, got = len(marks) in naive_match(items, marks, 0, same), wrapper.matched(p)
+        assert naive or got is None
+        assert naive or p not in pages
+        fit += got is not None
+        assert got is None or p.marks[got] == "div c2"
+    assert fit >= 12
+
+
+def test_wrapper_decides_where_names_say_nothing():
+    rng = random.Random(4)
+    sources = [unmarked(rng, k % 5 + 1) for k in range(10)]
+    wrapper = html_extract.Wrapper(html_extract.infer([html_extract.read(p) for p in sources[:8]]))
+    for p in [*sources, sources[0].replace("<div class=c3>", "<table><tr><td>new</td></table><div class=c3>")]:
+        got, plain = html_extract.extract(p, wrapper).split("\n"), html_extract.extract(p).split("\n")
+        assert plain[:2] == ["Home", "About us"] and plain[-2:] == ["Share this story", "All rights"]
+        assert got == plain[2:-2]
+
+
+def test_copies_are_no_template():
+    """Pages with one text, or nearly, don't make it template; nor do headings or texts that only some pages share."""
+    rng = random.Random(5)
+    one = unmarked(rng, 4)
+    assert html_extract.infer([html_extract.read(one)] * 5) is None
+    near = [one.replace("Home", f"Home {k}") for k in range(6)] + [unmarked(rng, 3) for _ in range(5)]
+    wrapper = html_extract.Wrapper(html_extract.infer([html_extract.read(p) for p in near]))
+    assert len(html_extract.extract(one, wrapper).split("\n")) == 5
+    headed = [unmarked(rng, 2).replace("<div class=c9>Share this story</div>", "<h2>References</h2><p>shared passage of some</p>" if k else "<h2>References</h2>") for k in range(8)]
+    wrapper = html_extract.Wrapper(html_extract.infer([html_extract.read(p) for p in headed]))
+    assert html_extract.extract(headed[1], wrapper).split("\n")[-2:] == ["References", "shared passage of some"]
+
+
+def test_names_lose_no_article():
+    page = """<body><article><h1>T</h1><section class="related-work"><p>rw</p></section><div class="social-history">sh</div><p class="comment">c</p>
+    <div class="related-posts">no</div><div class="ad">no</div><ol class="comment-list"><li>no</ol><section id=comments>no</section><p class="cookie-notice">no</p></article></body>"""
+    assert html_extract.extract(page) == "T\nrw\nsh\nc"
+    assert html_extract.extract('<body><div class="search-results"><p>found</p></div></body>') == "found"
+    assert html_extract.extract('<body><div class="sidebar"><article><p>inside</p></article></div></body>') == "inside"
+    assert html_extract.extract('<body><div class="post"><p>long article text here</p></div><div class="comments"><p>c1</p></div></body>') == "long article text here"
+
+
+@pytest.mark.parametrize(
+    "unit,tail",
+    [('<a "', ""), ('<a x="', ""), ("<div>", ""), ("</b>", ""), ("<", ""), ("<p>x", ""), ("<li><div>", ""), ("<a =", ">"), ('<a x=">', ""), ("<td>x<table>", ""), ("<!--", ""), ("<div class=ad>", ""), ("<a x='\">\"", ""), ("<dt><dl>", ""), ("<script>", "")],
+)
+def test_broken_pages_take_linear_time(unit, tail):
+    import time
+
+    page = unit * (1_000_000 // len(unit)) + tail
+    began = time.perf_counter()
+    assert html_extract.extract(page) is not None
+    assert time.perf_counter() - began < 10
+
+
+def test_html_query_like_a_parser(spark):
+    """Every page of the table against the standard library's parser and a plain reading of its article."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.skip, self.run, self.blocks = False, 0, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.run).split())
+            self.blocks += [text] if text else []
+            self.run = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside = True
+            if tag == "br":
+                self.run.append(" ")
+            elif tag in ("p", "h1", "h2", "ul", "li", "div", "article"):
+                self.flush()
+            self.skip += tag in ("nav", "footer", "form", "aside", "script") or (tag == "div" and ("class", "ad") in attrs)
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "ul", "li", "div", "article"):
+                self.flush()
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.run.append(data)
+
+    pages = {r.page_id: r.html for r in table(spark, FOLDER, "pages").collect()}
+    got = queries.op6_html(spark, FOLDER).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        parser = Article()
+        parser.feed(pages[r.page_id] or "")
+        parser.close()
+        parser.flush()
+        assert r.text == "\n".join(parser.blocks) and r.n_chars == len(r.text)
+
+
+def test_html_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(k, f"http://h.example/{k}", unmarked(rng, k % 4 + 1)) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit("x") for c in ("host", "draw", "place", "pages", "wrapper", "text", "n_chars")})
+    a, b = html_extract.extract_pages(pages), html_extract.extract_pages(more)
+    assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert all("Home" not in r.text and "Share" not in r.text for r in b.collect())
 
 
 def test_extract_odd_rows(spark):
