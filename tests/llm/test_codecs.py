@@ -373,5 +373,40 @@ def test_license_odd_rows(spark, make):
     assert license_scan.scan(make([]), license_scan.template_table(spark)).count() == 0
 
 
+def test_license_recall(spark, make):
+    """Damaged copies of the full texts against brute force: all with containment 0.8 are found, or at least 99 of 100."""
+    rng = random.Random(9)
+    texts = []
+    for i in range(300):
+        text = rng.choice([t for _, _, t in license_scan.TEMPLATES if len(t.split()) > 25]).split()
+        for _ in range(rng.randint(0, len(text) // 20)):
+            text[rng.randrange(len(text))] = rng.choice(("changed", "word", ""))
+        lead = " ".join(rng.choice(("one", "two", "three")) for _ in range(rng.randint(0, 9)))
+        texts.append((i, f"{lead} {' '.join(text)} and more after it"))
+
+    def shingles(text):
+        words = __import__("re").findall("[a-z0-9]+", text.lower())
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    known = {i: shingles(t) for i, _, t in license_scan.TEMPLATES}
+    want = {(i, n): len(s & shingles(t)) / len(s) for i, t in texts for n, s in known.items()}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    got = {(r.doc_id, r.template_id): r.containment for r in license_scan.scan(make(texts), license_scan.template_table(spark)).collect()}
+    assert set(got) <= set(want) and all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+    assert len(want) > 200 and len(got) >= 0.99 * len(want)
+
+
+def test_license_windows_meet_as_stated(spark):
+    """Windows of similarity 0.6 share a band about as often as the curve says."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(2000):
+        common, own = ([rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (6, 4))
+        rows.append((i, common + own[:2], common + own[2:]))  # 6 of 10 shared
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
+    met = df.select(license_scan.window_bands("a", 4).alias("a"), license_scan.window_bands("b", 4).alias("b")).filter("arrays_overlap(a, b)").count()
+    assert abs(met / 2000 - (1 - (1 - 0.36) ** 4)) < 0.04
+
+
 def test_block_result_has_long_columns():
     assert list(topk._search((), pd.DataFrame({"vec_id": [], "vector": []}), pd.DataFrame({"vec_id": [], "vector": []}), 5).dtypes.astype(str)) == ["int64"] * 3
