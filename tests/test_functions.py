@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumspark.functions import bands, clients, guards
 from vellumspark.functions import text as T
-from vellumspark.operators import bags, detect, layout, signals
+from vellumspark.operators import bags, detect, layout, records, signals
 from vellumspark.sources import readers
 
 
@@ -60,7 +60,7 @@ def test_luhn_and_cards(spark):
 def test_scripts(spark):
     lang = lambda t: tuple(one(spark, detect.script_language(F.col("t")), t=t))
     assert lang("これは日本語の文章ですからひらがながあります。もっと長い文章にします") == ("jpn", True)
-    assert lang("это русский текст для проверки определения языка") == ("rus", True)
+    assert lang("это русский текст для проверки определения языка") == ("rus+eng", True)
     assert lang("short") == ("eng", False)
 
 
@@ -146,3 +146,87 @@ def test_metric_files(spark, tmp_path):
     path = str(tmp_path)
     assert [tuple(r) for r in readers.metric_rows(spark, path, "doc string, recall double").collect()] == [("a", 0.5)]
     assert readers.same_header(readers.metric_header(spark, path), readers.metric_header(spark, path))
+
+
+def value_of(spark, column, *values):
+    names = [f"v{i}" for i in range(len(values))]
+    return spark.range(1).select(*[F.lit(v).alias(n) for v, n in zip(values, names)]).select(column(*[F.col(n) for n in names]).alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    "host,want",
+    [("login.bank.co.uk", "bank.co.uk"), ("www.shop.com.mx", "shop.com.mx"), ("a.b.co.nz", "b.co.nz"), ("www.example.com.", "example.com"), ("news.example.org", "example.org"), ("bank.com", "bank.com"), ("CO.UK", "co.uk"), ("a.ac.jp", "a.ac.jp")],
+)
+def test_sites(spark, host, want):
+    assert value_of(spark, detect.site, host) == want
+
+
+LATIN = {
+    "ita": "Questo documento è per gli utenti che vuoi, con una copia della lettera e dei dati nel testo anche",
+    "por": "O documento não é para uma pessoa, com os dados do texto em português e na forma da lei",
+    "tur": "Bu belge ve bir kopya için daha sonra olarak gibi her zaman çok iyi ama veya",
+    "vie": "Đây là một văn bản được viết cho người dùng và không có những lỗi này khi đọc",
+    "deu": "Das ist ein Text, der nicht auf Englisch ist und sich auch mit dem Wort werden oder wird",
+    "eng": "The text that you can read is with it as are on this by from your",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(LATIN))
+def test_latin_languages(spark, lang):
+    assert value_of(spark, detect.latin_language, LATIN[lang]) == lang
+    docs = spark.createDataFrame([(1, LATIN[lang])], "doc_id long, text string")
+    assert detect.common_word_language(docs).first().lang == lang
+
+
+def test_script_languages(spark):
+    russian = "Это русский текст, в котором довольно много букв для уверенности"
+    assert tuple(value_of(spark, detect.script_language, russian)) == ("rus+eng", True)
+    assert tuple(value_of(spark, detect.script_language, LATIN["deu"])) == ("deu", True)
+    assert tuple(value_of(spark, detect.script_language, "short")) == ("eng", False)
+
+
+def test_personal_data_patterns(spark):
+    text = "Cards 4111 1111 1111 1111 5500005555555559, IBAN DE89370400440532013000, not X4111111111111111Z; mail jo_e+1@b.co or é@x.de; HTTP://A.b/c +49 30 1234"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {(r.kind, r.match) for r in detect.pii_matches(docs).collect()}
+    assert {m for k, m in got if k == "cc"} == {"4111 1111 1111 1111", "5500005555555559"}
+    assert ("iban", "DE89370400440532013000") in got and ("email", "jo_e+1@b.co") in got and ("url", "HTTP://A.b/c") in got
+
+
+def test_glossary_terms_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "Machine  learning and machine-learning; MACHINE LEARNING, learning machine."), (2, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("machine learning",), ("Learning",), ("deep learning",), ("",)], "term string")
+    assert sorted((r.term, r.n) for r in detect.glossary_matches(docs, terms).collect()) == [("Learning", 4), ("machine learning", 2)]
+    assert detect.glossary_matches(docs, terms.filter("term = ''")).count() == 0
+
+
+def test_suspicious_readings(spark):
+    check = lambda c, t, w: value_of(spark, records.suspicious_reading, c, t, w)
+    assert check(59.0, "plain words", [90.0]) and not check(60.0, "plain words", [90.0])
+    assert check(75.0, "words", [39.0] * 3 + [90.0] * 17) and not check(75.0, "words", [39.0] * 2 + [90.0] * 18)
+    assert not check(80.0, "words", [39.0] * 20) and not check(75.0, "words", [39.0] * 19)
+    assert check(90.0, "a 42 2024 50,000", [90.0]) and not check(90.0, "Invoice: Total: $500", [90.0])
+
+
+def test_common_length_by_brute_force():
+    import random
+
+    def naive(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = [0] + [max(row[j + 1], row[j] + 1) if a == b else max(row[j + 1], 0) for j, b in enumerate(y)]
+            for j in range(1, len(row)):
+                row[j] = max(row[j], row[j - 1])
+        return row[-1]
+
+    assert records.common_length(list("a1b2c3d4XX"), list("XXabcd")) == 4
+    rng = random.Random(1)
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        assert records.common_length(x, y) == naive(x, y)
+
+
+def test_watched_names():
+    body = b"<< /OpenAction << /S /J#61vaScript >> /ByteRange [0 1] /JBIG2Decode >>\nstream\n/Launch\nendstream\n/GoToE /ObjStm %%EOF"
+    found = {k: n for k, n in records.pdf_names(body).items() if n}
+    assert found == {"OpenAction": 1, "JavaScript": 1, "ByteRange": 1, "JBIG2Decode": 1, "GoToE": 1, "ObjStm": 1, "%%EOF": 1}

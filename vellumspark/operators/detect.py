@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 #: Personal-data patterns, all bounded.
 PII = {
-    "email": r"[a-zA-Z0-9._%+]{1,64}@[a-zA-Z0-9.]{1,253}\.[a-zA-Z]{2,24}",
-    "phone": r"(?:\+[0-9]{1,3}[ \t\n]?)?\(?[0-9]{2,4}\)?[ \t\n.][0-9]{2,4}[ \t\n.][0-9]{2,9}",
-    "cc": r"(?:^|[^A-Za-z0-9_])([0-9]{4}[ \t\n]?[0-9]{4}[ \t\n]?[0-9]{4}[ \t\n]?[0-9]{4})(?:[^A-Za-z0-9_]|$)",
-    "url": r"https?://[^ \t\n\r]+",
+    "email": r"[a-zA-Z0-9._%+\w]{1,64}@[a-zA-Z0-9.]{1,253}\.[a-zA-Z]{2,24}",
+    "phone": r"(?:\+\d{1,3}[\s]?)?\(?\d{2,4}\)?[\s.]\d{2,4}[\s.]\d{2,9}",
+    "cc": r"\b\d{4}[\s]?\d{4}[\s]?\d{4}[\s]?\d{4}\b",
+    "iban": r"\b[A-Z]{2}\d{2}[A-Z0-9]{1,30}\b",
+    "url": r"(?i)https?:\/\/[^\s]+",
 }
-#: Common words of some Latin-script languages; a word of several languages says nothing. Others are given as a parameter.
+#: Common words of twelve Latin-script languages; a word of several languages says nothing. Others are given as a parameter.
 COMMON_WORDS = {
     "eng": "the and of to is in that for it with as are on be this by or from your you can a i",
     "fra": "le la les des est et une un du pour que dans pas sur vous qui avec sont au ne ce votre plus",
     "deu": "der die und das ist nicht ein eine den mit auf für fur sie es dem zu von werden wird sich auch oder bei",
     "spa": "el la los las de que y en un una es para por con del se su no al como sus más mas",
+    "ita": "il la di che e è per un una del della sono con non le gli dei alla nel si come più piu senza nessun nessuna tutti puoi vuoi sul tuo suoi questo questa viene ogni anche",
+    "por": "o a os as de que e do da em um uma para com não nao no na se por dos das seu sua",
     "nld": "de het een en van is in dat op te met voor zijn niet je die worden wordt ook aan bij",
     "pol": "i w z na do się sie nie to jest że ze o jak lub od po dla są sa przez co",
+    "tur": "ve bir bu için icin ile da de olarak daha olan gibi veya her çok cok en ama sonra kadar",
+    "vie": "và của là các có trong cho được không những một với này để khi từ người mot khong cua cac voi nhung duoc nay hoac nhieu cung",
     "uzb": "uchun bilan esa yoki emas kabi mumkin hamda orqali qilish barcha faqat agar lekin",
     "ind": "dan yang di ini untuk dengan dari tidak ke anda dalam akan atau pada adalah bisa juga",
 }
@@ -39,8 +44,7 @@ def pii_matches(docs: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """One row per match: doc_id, kind, match."""
     found = []
     for kind in kinds or list(PII):
-        group = 1 if kind == "cc" else 0
-        own = docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(PII[kind]), F.lit(group))).alias("match"))
+        own = docs.select("doc_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(PII[kind]), F.lit(0))).alias("match"))
         found.append(own.filter(luhn(F.col("match"))) if kind == "cc" else own)
     out = found[0]
     for x in found[1:]:
@@ -56,6 +60,33 @@ def script_counts(text: Column) -> Column:
     return F.struct(*[F.regexp_count(text, F.lit(f"[{r}]")).alias(n) for n, r in SCRIPTS.items()])
 
 
+def telling_words(words_of: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """For each language its common words that no other language has."""
+    given = {lang: set(words.split()) for lang, words in (words_of or COMMON_WORDS).items()}
+    return {lang: sorted(w for w in words if sum(w in other for other in given.values()) == 1) for lang, words in given.items()}
+
+
+def latin_language(text: Column) -> Column:
+    """Language of a Latin-script text by its common words, inside the row: 3 % of the words and twice the next one's, else eng."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{2,})"), F.lit(1))
+
+    def number_of(found: Column, own: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(own)))
+
+    def decide(found: Column) -> Column:
+        telling = {lang: own for lang, own in telling_words().items() if lang != "eng"}
+        counts = F.array(*[F.struct((-number_of(found, own)).alias("less"), F.lit(k).alias("place"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(telling.items())])
+
+        def choose(ranked: Column) -> Column:
+            first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+            sure = (first["less"] < 0) & (-first["less"] >= 0.03 * F.size(found)) & (-first["less"] >= -2 * second["less"])
+            return F.when(sure, first["lang"]).otherwise("eng")
+
+        return F.get(F.transform(F.array(F.array_sort(counts)), choose), F.lit(0))
+
+    return F.get(F.transform(F.array(words), decide), F.lit(0))
+
+
 def script_language(text: Column, confidence: Column | None = None) -> Column:
     """Language by script with whether it can be relied on."""
     c = script_counts(text)
@@ -73,12 +104,13 @@ def script_language(text: Column, confidence: Column | None = None) -> Column:
         .otherwise("eng")
     )
     total = sum((c[n] for n in SCRIPTS), F.lit(0))
+    named = F.when(lang == "eng", latin_language(text)).when(lang == "rus", "rus+eng").otherwise(lang)
     own = F.when(lang == "jpn", c["kana"] + c["cjk"])
     for name, key in (("eng", "lat"), ("rus", "cyr"), ("ara", "ara"), ("heb", "heb"), ("chi_sim", "cjk"), ("kor", "han"), ("hin", "dev"), ("tha", "tha")):
         own = own.when(lang == name, c[key])
     sure = (total >= 30) & (own / F.greatest(total, F.lit(1)) > 0.5) & (F.lit(True) if confidence is None else confidence >= 55)
     short = text.isNull() | (F.length(F.trim(text)) < 10)
-    return F.struct(F.when(short, "eng").otherwise(lang).alias("lang"), (~short & sure).alias("confident"))
+    return F.struct(F.when(short, "eng").otherwise(named).alias("lang"), (~short & sure).alias("confident"))
 
 
 def common_word_language(docs: DataFrame, words_of: dict[str, str] | None = None) -> DataFrame:
@@ -113,10 +145,27 @@ def glossary_lines(lines: DataFrame) -> DataFrame:
 
 
 def glossary_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, n: whole-word matches of one-word terms, in any case. An equi-join on words, so the dictionary may be large."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}0-9_]+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return counted.join(terms.select(F.lower("term").alias("word"), "term").distinct(), "word").select("doc_id", "term", "n")
+    """doc_id, term, n: whole-word matches of terms of one or more words, in any case.
+
+    Terms meet texts as word sequences of their own lengths (only the distinct lengths reach the driver) in one
+    equi-join, so the dictionary may be large. Other signs between words break a sequence; white space doesn't.
+    """
+    token = r"([\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]+)"
+    split = lambda text: F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(1))
+    wanted = terms.select("term", split(F.col("term")).alias("tokens")).distinct().filter(F.size("tokens") > 0)
+    lengths = sorted(r[0] for r in wanted.select(F.size("tokens")).distinct().collect())
+    words = docs.select("doc_id", split(F.col("text")).alias("tokens"))
+    found = None
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("tokens", i + (k - 1)) for k in range(n)]))
+
+    for n in lengths:
+        own = words.select("doc_id", F.explode(runs(n)).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("n"))
+        met = own.join(wanted.filter(F.size("tokens") == n).select("term", F.concat_ws(" ", "tokens").alias("run")), "run").select("doc_id", "term", "n")
+        found = met if found is None else found.unionByName(met)
+    return found if found is not None else docs.select("doc_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n")).limit(0)
 
 
 def uri_flags(uri: Column) -> Column:
@@ -139,11 +188,16 @@ def uri_flags(uri: Column) -> Column:
     return F.struct(scheme.alias("scheme"), host.alias("host"), flags.alias("flags"))
 
 
-def site(host: Column, two_level: tuple[str, ...] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br", "com.cn", "co.in")) -> Column:
-    """The last two labels of a host, three below two-level endings."""
-    labels = F.split(host, r"\.")
-    last2 = F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), F.lit(2)), ".")
-    return F.when(last2.isin(*two_level), F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(3)), F.lit(3)), ".")).otherwise(last2)
+#: Fixed value: endings below which a site's name stands one label further left.
+TWO_LEVEL = r"(?i)\.(?:co|com|net|org|gov|edu|ac|or|ne|go)\.[a-z]{2}$"
+
+
+def site(host: Column) -> Column:
+    """The part of a host by which a person recognises the site: the last two labels, three below two-level endings."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.$", "")
+    labels = F.split(plain, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(n)), F.lit(n)), ".")
+    return F.when(plain.rlike(TWO_LEVEL), last(3)).otherwise(last(2))
 
 
 def file_risk(name: Column) -> Column:

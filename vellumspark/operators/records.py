@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,9 +44,16 @@ def under_rectangles(items: DataFrame, rects: DataFrame, slack_x: float = 1.0, s
     return items.join(own, inside).select("rect", "page", "x", "text")
 
 
+#: Domain endings common enough to read "name.ending" as a site.
+COMMON_ENDINGS = (
+    "com org net gov edu mil int info biz io co app dev me us "
+    "uk de fr it es nl pl ru ua uz kz tr cn jp kr in br au ca sa ae eg ir pk"
+)
+
+
 def link_mismatch(shown: Column, host: Column) -> Column:
     """Whether a link's text names another site than its target; texts that are cut off say nothing."""
-    named = F.lower(F.regexp_extract(shown, r"(?i)(?:https?://)?(?:www\.)?((?:[a-z0-9-]+\.)+(?:com|org|net|io|de|uk|edu|gov))(?![a-z0-9.…-])", 1))
+    named = F.lower(F.regexp_extract(shown, r"(?i)(?:https?://)?(?:www\.)?((?:[a-z0-9-]+\.)+(?:" + COMMON_ENDINGS.replace(" ", "|") + r"))(?![a-z0-9.…-])", 1))
     return (named != "") & (site(named) != site(host)) & ~F.rtrim(shown).rlike(r"(…|\.\.\.)$")
 
 
@@ -70,9 +76,15 @@ def merge_entities(tokens: Column, least: float = 0.5) -> Column:
     return F.transform(kept, lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text")))
 
 
-def suspicious_reading(confidence: Column, share: Column) -> Column:
-    """Whether recognised text should not be trusted: low confidence, or few words found in the language's list."""
-    return (confidence < 50) | ((confidence < 70) & (share < 0.3)) | (share < 0.1)
+def suspicious_reading(confidence: Column, text: Column, word_confidences: Column) -> Column:
+    """Whether recognised text should not be trusted: unsure throughout, unsure in part, or hardly any letters among its digits.
+
+    word_confidences holds the confidences of the words that are not blank.
+    """
+    words, weak = F.size(word_confidences), F.size(F.filter(word_confidences, lambda c: c < 40))
+    letters, digits = F.regexp_count(text, F.lit("[a-zA-Z]")), F.regexp_count(text, F.lit("[0-9]"))
+    in_part = (confidence < 80) & (words >= 20) & (weak >= 0.15 * words)
+    return (confidence < 60) | in_part | ((letters + digits > 5) & (letters < 0.25 * (letters + digits)))
 
 
 def copies(recipients: DataFrame, lines: DataFrame, room: float, char_width: float = 5.0, least: float = 0.85) -> DataFrame:
@@ -100,14 +112,26 @@ def surviving_outline(entries: DataFrame, kept_pages: DataFrame, rounds: int = 2
     raise RuntimeError("the outline is deeper than the rounds")
 
 
+def common_length(x: list, y: list) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in the bits of a number."""
+    masks: dict = {}
+    for i, item in enumerate(x):
+        masks[item] = masks.get(item, 0) | 1 << i
+    every = (1 << len(x)) - 1
+    row = every
+    for item in y:
+        met = row & masks.get(item, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(x) - row.bit_count()
+
+
 def aligned_lines(truth: DataFrame, output: DataFrame) -> DataFrame:
-    """doc_id, matched, truth_lines, output_lines: longest common subsequence of two documents' lines (arrays), one document at a time."""
+    """doc_id, matched, truth_lines, output_lines: longest common subsequence of two documents' lines (arrays; several rows of a document are one after another), one document at a time."""
 
     def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x = list(a["lines"].iloc[0]) if len(a) else []
-        y = list(b["lines"].iloc[0]) if len(b) else []
-        n = sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-        return pd.DataFrame({"doc_id": [key[0]], "matched": [n], "truth_lines": [len(x)], "output_lines": [len(y)]})
+        x = [line for lines in a["lines"] for line in lines]
+        y = [line for lines in b["lines"] for line in lines]
+        return pd.DataFrame({"doc_id": [key[0]], "matched": [common_length(x, y)], "truth_lines": [len(x)], "output_lines": [len(y)]})
 
     return truth.groupBy("doc_id").cogroup(output.groupBy("doc_id")).applyInPandas(match, "doc_id long, matched long, truth_lines long, output_lines long")
 
@@ -127,7 +151,11 @@ def language_tag(text: Column) -> Column:
 
 _NAME = re.compile(rb"/((?:[^\x00-\x20()<>\[\]{}/%#]|#[0-9a-fA-F]{2})+)")
 #: Names that tell of active content.
-WATCHED = ("JavaScript", "JS", "Launch", "OpenAction", "AA", "EmbeddedFile", "URI", "SubmitForm", "GoToR", "RichMedia", "Encrypt", "AcroForm", "XFA")
+WATCHED = (
+    "JS", "JavaScript", "AA", "OpenAction", "Launch", "EmbeddedFile", "EmbeddedFiles",
+    "RichMedia", "XFA", "AcroForm", "URI", "SubmitForm", "ImportData", "GoToR", "GoToE",
+    "JBIG2Decode", "ObjStm", "Encrypt", "ByteRange",
+)
 
 
 def pdf_names(content: bytes) -> dict[str, int]:

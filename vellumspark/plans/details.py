@@ -103,8 +103,14 @@ def l19(spark, d):
     return X.cell_of(items, columns)
 
 
-@query("p26_question_bands", f"WITH {LINES}, q AS (SELECT doc_id, n // 3 AS number, 800.0::DOUBLE - n * 20 AS top FROM l WHERE n % 3 = 0 AND n < 100) SELECT doc_id, number::INT AS number, top, lead(top) OVER (PARTITION BY doc_id ORDER BY top DESC) AS bottom FROM q")
+@query(
+    "p26_question_bands",
+    f"""WITH {LINES}, q AS (SELECT doc_id * 100000 + n // 90 AS doc_id, n % 90 // 3 AS number, 800.0::DOUBLE - n % 90 * 20 AS top FROM l WHERE n % 3 = 0)
+    SELECT doc_id, number::INT AS number, top, lead(top) OVER (PARTITION BY doc_id ORDER BY top DESC) AS bottom FROM q""",
+)
 def p26(spark, d):
-    n = F.col("n")
-    rows = lines(spark, d).filter("n < 100").select("doc_id", (F.lit(800.0) - n * 20).alias("y"), F.lit(0.0).alias("x"), F.when(n % 3 == 0, F.concat((n / 3).cast("int").cast("string"), F.lit(". "), "line")).otherwise(F.concat(F.lit("- "), "line")).alias("text"))
+    """Every 90 lines of a document are a worksheet, so that all lines take part and numbers stay short."""
+    n = F.col("n") % 90
+    text = F.when(n % 3 == 0, F.concat((n / 3).cast("int").cast("string"), F.lit(". "), "line")).otherwise(F.concat(F.lit("- "), "line"))
+    rows = lines(spark, d).select((F.col("doc_id") * 100000 + F.floor(F.col("n") / 90)).alias("doc_id"), (F.lit(800.0) - n * 20).alias("y"), F.lit(0.0).alias("x"), text.alias("text"))
     return X.question_bands(rows)

@@ -185,13 +185,13 @@ def l17(spark, d):
 
 def repeated_lines(spark, d):
     """Every page of four lines or more begins with a running head and ends with its number."""
-    own = lines(spark, d).filter("n <= 400").withColumn("page", F.floor((F.col("n") - 1) / 4).cast("int"))
+    own = lines(spark, d).withColumn("page", F.floor((F.col("n") - 1) / 4).cast("int"))
     k = (F.col("n") - 1) % 4
     text = F.when(k == 0, F.concat(F.lit("Running head "), (F.col("doc_id") % 3).cast("string"))).when(k == 3, F.concat(F.lit("page "), F.col("page").cast("string"))).otherwise(F.col("line"))
     return own.select("doc_id", "page", k.alias("line"), (F.lit(800.0) - k * 15).alias("y"), text.alias("text"))
 
 
-REPEATED = f"{LINES}, r AS (SELECT doc_id, ((n - 1) // 4)::INT AS page, ((n - 1) % 4)::INT AS line, 800.0 - ((n - 1) % 4) * 15 AS y, CASE (n - 1) % 4 WHEN 0 THEN 'Running head ' || (doc_id % 3) WHEN 3 THEN 'page ' || ((n - 1) // 4) ELSE line END AS text FROM l WHERE n <= 400), p AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM r GROUP BY 1)"
+REPEATED = f"{LINES}, r AS (SELECT doc_id, ((n - 1) // 4)::INT AS page, ((n - 1) % 4)::INT AS line, 800.0 - ((n - 1) % 4) * 15 AS y, CASE (n - 1) % 4 WHEN 0 THEN 'Running head ' || (doc_id % 3) WHEN 3 THEN 'page ' || ((n - 1) // 4) ELSE line END AS text FROM l), p AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM r GROUP BY 1)"
 
 
 def page_counts(rows):

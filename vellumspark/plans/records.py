@@ -59,10 +59,11 @@ def c16(spark, d):
     return repair.repair_uzbek(docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "oâzbek gâoya soâz").otherwise("âme oâ").alias("text")))
 
 
-@query("c18_surrogates")
+@query("c18_surrogates", "SELECT r_regionkey, r_name || '😀é' AS text FROM region")
 def c18(spark, d):
-    broken = bytearray("x".encode() + "😀".encode("utf-8", "surrogatepass"))
-    return table(spark, d, "region").select("r_regionkey", repair.join_surrogates(F.lit(bytes(broken))).cast("string").alias("text"))
+    halves = bytes(b for half in (0xD83D, 0xDE00) for b in chr(half).encode("utf-8", "surrogatepass"))
+    broken = F.concat(F.col("r_name").cast("binary"), F.lit(halves), F.lit("é".encode()))
+    return table(spark, d, "region").select("r_regionkey", repair.join_surrogates(broken).cast("string").alias("text"))
 
 
 @query("c21_numbered_sections", f"WITH {LINES}, m AS (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN '2.' || n % 50 || ' ' || line ELSE line END AS line FROM l) SELECT doc_id, n FROM m WHERE regexp_matches(line, '^[0-9]{{1,2}}(\\.[0-9]{{1,2}}){{1,4}}\\.?\\s+\\S') AND length(line) <= 120")
@@ -101,9 +102,16 @@ def d09(spark, d):
     return R.bounding(boxes, "l_orderkey")
 
 
-@query("d12_suspicious", "SELECT event_id, value < 50 OR (value < 70 AND event_id % 10 / 10 < 0.3) OR event_id % 10 / 10 < 0.1 AS doubtful FROM events")
+@query(
+    "d12_suspicious",
+    """WITH t AS (SELECT doc_id, text, doc_id % 101 AS confidence, list_transform(list_filter(regexp_split_to_array(text, '[ \\n\\t]+'), lambda w: w <> ''), lambda w: (length(w) * 13 + doc_id) % 101) AS c FROM documents),
+    n AS (SELECT *, len(regexp_extract_all(text, '[a-zA-Z]')) AS a, len(regexp_extract_all(text, '[0-9]')) AS g, len(list_filter(c, lambda x: x < 40)) AS weak FROM t)
+    SELECT doc_id, confidence < 60 OR (confidence < 80 AND len(c) >= 20 AND weak >= 0.15 * len(c)) OR (a + g > 5 AND a < 0.25 * (a + g)) AS doubtful FROM n""",
+)
 def d12(spark, d):
-    return table(spark, d, "events").select("event_id", R.suspicious_reading(F.col("value"), F.col("event_id") % 10 / 10).alias("doubtful"))
+    words = F.filter(F.split("text", r"[ \n\t]+"), lambda w: w != "")
+    own = F.transform(words, lambda w: (F.char_length(w) * 13 + F.col("doc_id")) % 101)
+    return table(spark, d, "documents").select("doc_id", R.suspicious_reading(F.col("doc_id") % 101, F.col("text"), own).alias("doubtful"))
 
 
 @query("d16_link_mismatch", "SELECT page_id, page_id % 3 = 0 AS differs FROM pages")
@@ -144,10 +152,14 @@ def e27(spark, d):
     return both.agg(F.count("*").alias("documents"), F.count_if(F.abs(F.col("a") - F.col("b")) >= 20).alias("moved"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_change"))
 
 
-@query("e32_column_switches", "WITH m AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_returnflag AS c, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS before FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem)) SELECT 1 AS one, count(DISTINCT doc_id) AS documents FROM m")
+@query(
+    "e32_column_switches",
+    """WITH m AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, min(l_returnflag) AS c FROM lineitem GROUP BY 1, 2), b AS (SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM m)
+    SELECT doc_id, count(*) FILTER (before <> c) AS switches FROM b GROUP BY 1""",
+)
 def e32(spark, d):
-    markers = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("column_no"))
-    return R.column_switches(markers).agg(F.lit(1).alias("one"), F.count("*").alias("documents"))
+    markers = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos")).agg(F.min("l_returnflag").alias("column_no"))
+    return R.column_switches(markers)
 
 
 @query("h02_faq", "SELECT page_id, ['Q' || page_id] AS questions FROM pages")

@@ -150,20 +150,18 @@ def b12(spark, d):
     return events(spark, d).select("event_id", bands.extension(pick(NAMES, F.col("k") % 7)).alias("ext"))
 
 
-@query("b20_prefix_hash", "SELECT doc_id, sha256(text[1:1000]) AS prefix_hash FROM documents WHERE length(text) = strlen(text)")
+@query("b20_prefix_hash", "SELECT doc_id, sha256(unhex(hex(encode(text))[1:2000])) AS prefix_hash FROM documents")
 def b20(spark, d):
-    ascii_ = docs(spark, d).filter(F.length("text") == F.octet_length("text"))
-    return ascii_.select("doc_id", F.sha2(F.substring(F.col("text").cast("binary"), 1, 1000), 256).alias("prefix_hash"))
+    return docs(spark, d).select("doc_id", F.sha2(F.substring(F.col("text").cast("binary"), 1, 1000), 256).alias("prefix_hash"))
 
 
 @query(
     "b25_error_signatures",
-    f"WITH {LINES}, s AS (SELECT doc_id, regexp_replace(regexp_replace(substr(line, 1, 40), '\"[^\"]*\"', '\"\"', 'g'), '[0-9]+', '#', 'g') AS signature FROM l WHERE n = 1) SELECT signature, count(*) AS documents, min(doc_id) AS first_doc FROM s GROUP BY signature",
+    f"WITH {LINES}, s AS (SELECT doc_id, regexp_replace(regexp_replace(line, '\"[^\"]*\"', '\"\"', 'g'), '[0-9]+', '#', 'g') AS signature FROM l) SELECT signature, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM s GROUP BY signature",
 )
 def b25(spark, d):
-    first = lines(spark, d).filter("n = 1")
-    signature = T.mask_digits(F.regexp_replace(F.substring("line", 1, 40), '"[^"]*"', '""'))
-    return first.groupBy(signature.alias("signature")).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    signature = T.mask_digits(F.regexp_replace("line", '"[^"]*"', '""'))
+    return lines(spark, d).groupBy(signature.alias("signature")).agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("c01_fold_diacritics")
@@ -285,12 +283,12 @@ def c39(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.escape_html(F.col("html")).cast("binary")).alias("escaped"))
 
 
-PII_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for k, p in D.PII.items() if k in ("email", "url", "phone"))
+PII_SQL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS match FROM documents" for k, p in D.PII.items() if k in ("email", "url", "phone", "iban"))
 
 
 @query("d01_personal_data", PII_SQL)
 def d01(spark, d):
-    return D.pii_matches(docs(spark, d), ["email", "url", "phone"])
+    return D.pii_matches(docs(spark, d), ["email", "url", "phone", "iban"])
 
 
 @query("d01_cards")
@@ -307,7 +305,7 @@ def d02(spark, d):
     return table(spark, d, "orders").select("o_orderkey", D.luhn(number).alias("valid"))
 
 
-@query("d03_redacted", "SELECT doc_id, md5(regexp_replace(text, '[a-zA-Z0-9._%+]{1,64}@[a-zA-Z0-9.]{1,253}\\.[a-zA-Z]{2,24}', '█', 'g')) AS redacted FROM documents")
+@query("d03_redacted", "SELECT doc_id, md5(regexp_replace(text, '[a-zA-Z0-9._%+\\w]{1,64}@[a-zA-Z0-9.]{1,253}\\.[a-zA-Z]{2,24}', '█', 'g')) AS redacted FROM documents")
 def d03(spark, d):
     return docs(spark, d).select("doc_id", F.md5(D.redact(F.col("text"), "email").cast("binary")).alias("redacted"))
 
