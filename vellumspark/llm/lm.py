@@ -204,7 +204,7 @@ def _add_up(key: tuple, sent: pd.DataFrame, most: int) -> pd.DataFrame:
 
 def quantise(p: np.ndarray) -> np.ndarray:
     """16-bit codes of probabilities on a log scale; the error is under 0.03 %."""
-    return np.minimum(np.round(np.log2(p) * -STEPS), 65535).astype(np.uint16)
+    return np.minimum(np.rint(np.log2(p.astype(np.float32, copy=False)) * np.float32(-STEPS)), np.float32(65535)).astype(np.uint16)
 
 
 def _weight(c: np.ndarray, of: tuple[float, float]) -> np.ndarray:
@@ -233,20 +233,24 @@ class Model:
         words = np.zeros(grams.words, dtype=np.uint16)
         self.trie = Trie(levels, words, words.copy()).mapped()
 
+        self.ratio2 = np.minimum(1, self.pairs / np.maximum(1, one[self.first])).astype(np.float32)
+        if self.order > 2:
+            self.ratio3 = np.minimum(1, self.triples / self.pairs[self.front]).astype(np.float32)
+
     def smooth(self, two: tuple[float, float]) -> None:
         """Writes smoothed probabilities of orders 1 and 2, and the words' backoffs, for the weight of one word of context."""
         w = _weight(self.totals[0].astype(np.float64), two)
         self.trie.codes[:], self.trie.backoffs[:] = quantise(self.unigram), quantise(1 - w)
-        own = w[self.first]
-        self.level2 = own * np.minimum(1, self.pairs / np.maximum(1, self.totals[0][self.first])) + (1 - own) * self.unigram[self.second]
+        own, less = w.astype(np.float32)[self.first], self.unigram.astype(np.float32)[self.second]
+        self.level2 = own * (self.ratio2 - less) + less
         self.trie.levels[0].codes[:] = quantise(self.level2)
 
     def smooth_longer(self, three: tuple[float, float]) -> None:
         """The same for order 3 and the pairs' backoffs."""
         w = _weight(self.pairs.astype(np.float64), three)
         self.trie.levels[0].backoffs[:] = quantise(1 - w)
-        own = w[self.front]
-        self.trie.levels[1].codes[:] = quantise(own * np.minimum(1, self.triples / self.pairs[self.front]) + (1 - own) * self.level2[self.back])
+        own, less = w.astype(np.float32)[self.front], self.level2[self.back]
+        self.trie.levels[1].codes[:] = quantise(own * (self.ratio3 - less) + less)
 
 
 def _scores(grams: Grams, model: Model) -> list[np.ndarray]:
@@ -264,19 +268,28 @@ def _scores(grams: Grams, model: Model) -> list[np.ndarray]:
         context[grams.starts] = -1
         del found3
     del found2
+    seen, unseen = np.flatnonzero(two >= 0), np.flatnonzero(two < 0)
+    two, before, last = two[seen], before[unseen], t[unseen]
+    if model.order > 2:
+        longer, shorter = np.flatnonzero(three >= 0), np.flatnonzero(three < 0)
+        three, context = three[longer], context[shorter]
     out = []
     scale = -np.log10(2) / STEPS
-    with_none = lambda codes: np.append(codes.astype(np.int32), 0)  # noqa: E731 - place -1 is "no context"
+    lower = np.empty(len(t), dtype=np.int64)
+    total = np.empty(len(t), dtype=np.int64)
+    with_none = lambda codes: np.append(codes, np.uint16(0))  # noqa: E731 - place -1 is "no context"
     for w2 in WEIGHTS[2]:
         model.smooth(w2)
-        lower = np.where(two >= 0, with_none(trie.levels[0].codes)[two], with_none(trie.backoffs)[before] + with_none(trie.codes)[t])
-        if model.order < 3:
-            out.append(np.add.reduceat(lower.astype(np.int64), grams.starts) * scale)
-            continue
-        for w3 in WEIGHTS[3]:
+        lower[seen] = trie.levels[0].codes[two]
+        lower[unseen] = with_none(trie.backoffs)[before].astype(np.int64) + trie.codes[last]
+        for w3 in WEIGHTS[3] if model.order > 2 else ((0.0, 1.0),):
+            if not w3[0]:  # no weight on the longer context: the shorter one's value
+                out.append(np.add.reduceat(lower, grams.starts) * scale)
+                continue
             model.smooth_longer(w3)
-            total = np.where(three >= 0, with_none(trie.levels[1].codes)[three], with_none(trie.levels[0].backoffs)[context] + lower)
-            out.append(np.add.reduceat(total.astype(np.int64), grams.starts) * scale)
+            total[longer] = trie.levels[1].codes[three]
+            total[shorter] = with_none(trie.levels[0].backoffs)[context] + lower[shorter]
+            out.append(np.add.reduceat(total, grams.starts) * scale)
     return out
 
 
