@@ -1,8 +1,8 @@
+import math
 import random
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from tests.llm.conftest import ODD
@@ -333,29 +333,74 @@ def test_extract_odd_rows(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("k,n", [(5, 300), (5, 3), (3, 50)])
-def test_search_block_is_exact(k, n):
-    rng = np.random.default_rng(n)
-    vectors = rng.integers(-40, 40, (n, 6)).astype(float)
-    ids = rng.permutation(10 * n)[:n].astype(np.int64)
-    got = topk.search_block(ids[:20], vectors[:20], ids, vectors, k)
-    for i, v in zip(ids[:20], vectors[:20]):
-        want = sorted((-int(v @ w), int(j)) for j, w in zip(ids, vectors) if j != i)[:k]
-        assert [(-s, j) for q, j, s in got if q == i] == want
+def searched(blocks, asked, queries, k):
+    """What a task finds in blocks of (ids, vectors), each packed and read again."""
+    best = topk.Best(np.asarray(asked, dtype=np.int64), np.asarray(queries, dtype=np.int64), k)
+    for ids, vectors in blocks:
+        cells, low, width, gap, kind, exact = topk.ApproximationFile.of(vectors).pack()
+        best.search(topk.ApproximationFile.unpack(vectors.shape[1], cells, low, width, gap, kind, exact), ids)
+    return best
+
+
+def best_rows(ids, vectors, i, q, k):
+    whole = [int(x) for x in q]
+    scores = [max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(v, whole)))) for v in vectors.tolist()]
+    return sorted((-s, int(j)) for s, j in zip(scores, ids) if j != i)[:k]
 
 
-def test_search_block_reads_copies_once():
+@pytest.mark.parametrize("size", [1, 3, 256, 1 << 20, 1 << 40, (1 << 63) - 1])
+@pytest.mark.parametrize("n", [1, 4, 300])
+def test_search_is_exact(size, n):
+    rng = np.random.default_rng(size % 97 + n)
+    ids = rng.permutation(10 * n)[:n].astype(np.int64)
+    vectors = rng.integers(-size, size, (n, 7), endpoint=True)
+    vectors[: n // 3] = vectors[0]
+    asked = vectors[:20].copy()
+    blocks = [(ids[at : at + 90], vectors[at : at + 90]) for at in range(0, n, 90)]
+    for k in (1, 5):
+        best = searched(blocks, ids[:20], asked, k)
+        for i, q, found in zip(ids[:20], asked, best.found):
+            assert found == best_rows(ids, vectors, i, q, k)
+
+
+def test_search_reads_few_vectors():
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-256, 256, (8192, 64))
+    ids, asked = np.arange(8192, dtype=np.int64), rng.integers(-256, 256, (50, 64))
+    best = searched([(ids[:4096], vectors[:4096]), (ids[4096:], vectors[4096:])], np.arange(-50, 0), asked, 5)
+    for q, found in zip(asked, best.found):
+        assert found == sorted(zip((-(vectors @ q)).tolist(), ids.tolist()))[:5]
+    assert best.read < 0.1 * 50 * 8192
+
+
+def test_search_copies_of_the_best():
     for seed in range(12):
         rng = np.random.default_rng(seed)
-        vectors = rng.integers(-256, 256, (4096, 64)).astype(float)
+        vectors = rng.integers(-256, 256, (4096, 64))
         ids = rng.permutation(40960)[:4096].astype(np.int64)
-        asked = rng.integers(-256, 256, (4, 64)).astype(float)
+        asked = rng.integers(-256, 256, (4, 64))
         for q in asked:
             vectors[rng.choice(4096, 200, replace=False)] = vectors[np.argmax(vectors @ q)]
-        got = topk.search_block(np.arange(-4, 0), asked, ids, vectors, 5)
-        for i, q in zip(range(-4, 0), asked):
-            want = sorted((-int(s), int(j)) for j, s in zip(ids, vectors @ q))[:5]
-            assert [(-s, j) for a, j, s in got if a == i] == want
+        best = searched([(ids, vectors)], np.arange(-4, 0), asked, 5)
+        for q, found in zip(asked, best.found):
+            assert found == sorted(zip((-(vectors @ q)).tolist(), ids.tolist()))[:5]
+
+
+def test_top_k_waves(spark):
+    """Several waves, blocks and vector lengths, extra columns: the same as brute force."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 2)], "x", 1) for i in rng.permutation(600).tolist()]
+    rows += rows[:40]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score int").repartition(3)
+    got = {}
+    for r in topk.top_k(docs, k=4, query_every=7, block_rows=1100, wave_bytes=700).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (-r.score, r.vec_id)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in rows]
+    asked = {i: v for i, v in whole if i % 7 == 0}
+    assert set(got) == set(asked)
+    for i, q in asked.items():
+        want = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i and len(v) == len(q))[:4]
+        assert [got[i][n] for n in range(1, 5)] == want
 
 
 def test_top_k_odd_rows(spark):
@@ -406,7 +451,3 @@ def test_license_windows_meet_as_stated(spark):
     df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
     met = df.select(license_scan.window_bands("a", 4).alias("a"), license_scan.window_bands("b", 4).alias("b")).filter("arrays_overlap(a, b)").count()
     assert abs(met / 2000 - (1 - (1 - 0.36) ** 4)) < 0.04
-
-
-def test_block_result_has_long_columns():
-    assert list(topk._search((), pd.DataFrame({"vec_id": [], "vector": []}), pd.DataFrame({"vec_id": [], "vector": []}), 5).dtypes.astype(str)) == ["int64"] * 3

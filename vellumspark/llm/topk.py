@@ -1,125 +1,239 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-Vectors become integers, floor(scale * component). Rows are dealt by a hash of the id into blocks; a block
-holds its vectors' approximation, each component as a cell of ``2^bits`` equally filled cells, beside the
-exact vectors. For every query a scan of the cells gives an upper bound of each score (two matrix products,
-of the query's positive parts with the cells' upper edges and its negative parts with the lower ones). Exact
-vectors are then read in the order of their bounds until the kth score found exceeds every bound left. The
-best k of each block are merged by rank, partially before the shuffle.
-
-Queries (ids divisible by ``query_every``) meet every block of rows in blocks of their own, so a task holds
-one block of each, whatever the size of the table. Vectors of different lengths don't meet.
+Vectors become integers, floor(scale * component). Where they are read they are written once, without a
+shuffle, as blocks of at most ``block_rows`` vectors: for each component the range of the block is cut into
+``2^4`` cells of equal width, and each component is kept as the four bits of its cell, beside the exact
+vectors. With cells of equal width the bounds of all scores of a block are one matrix product of the (scaled)
+queries with the cells themselves, plus a term of the query alone; lower bounds differ from upper ones by a
+term of the query alone as well.
+
+Queries (ids divisible by ``query_every``) are sent to the blocks in waves of at most about ``wave_bytes``;
+a wave is one scan of the blocks. A task carries each query's kth score from block to block. In a block it
+drops all rows whose upper bound is under that score or under the kth lower bound of the block, and reads the
+exact vectors of the others in the order of their bounds until the kth score found exceeds every bound left.
+The best k of each task are merged by rank. Vectors of different lengths don't meet.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do null
-ids; scores beyond a long are held at its ends; ties go to the smaller id; rows that repeat an id are each
-candidates (a query's own id never is), but ask once, as the first by value.
+ids; components and scores beyond a long are held at its ends; ties go to the smaller id; rows that repeat an
+id are each candidates (a query's own id never is), but ask once, as the first by value; an empty table gives
+no rows; columns other than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.llm.common import cut
 
 RESULT = "query_id long, vec_id long, score long"
-EXACT = 1 << 53
+BLOCK = "dim int, ids binary, cells binary, low binary, width binary, gap binary, kind string, exact binary"
+CELLS = 16
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+EXACT_DOUBLE, EXACT_SINGLE = 1 << 53, 1 << 24
 
 
 class ApproximationFile:
-    """Cells of a block of integer vectors, and their bounds."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = 4) -> None:
-        self.vectors = vectors
-        cells = 1 << bits
-        at = np.linspace(0, len(vectors) - 1, cells + 1).round().astype(int)
-        self.edges = np.sort(vectors, axis=0)[at]  # cells + 1 edges for each component
-        self.edges[-1] += 1
-        self.cells = np.zeros(vectors.shape, dtype=np.uint8)
-        for j in range(vectors.shape[1]):
-            self.cells[:, j] = np.clip(np.searchsorted(self.edges[:, j], vectors[:, j], side="right") - 1, 0, cells - 1)
-        columns = np.arange(vectors.shape[1])
-        self.low, self.high = self.edges[self.cells, columns], self.edges[self.cells.astype(np.int64) + 1, columns]
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores, one row per query."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-
-
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best rows of a block for each query as (query_id, vec_id, score)."""
-    file = ApproximationFile(vectors)
-    out = []
-    for start in range(0, len(queries), 64):
-        bounds = file.bounds(queries[start : start + 64])
-        for qid, q, bound in zip(query_ids[start : start + 64], queries[start : start + 64], bounds):
-            best: list[tuple[int, int]] = []
-            take, left = 8 * k, np.flatnonzero(ids != qid)  # places not yet read, each of them once
-            certain = False
-            while len(left) and not certain:
-                if take * 4 >= len(left):
-                    chunk, left = left, left[:0]
-                else:
-                    parted = left[np.argpartition(-bound[left], take)]
-                    chunk, left = parted[:take], parted[take:]
-                chunk = chunk[np.argsort(-bound[chunk], kind="stable")]
-                for done in range(0, len(chunk), 4 * k):
-                    step = chunk[done : done + 4 * k]
-                    best += [(-int(s), int(i)) for s, i in zip(vectors[step] @ q, ids[step])]
-                    best = sorted(best)[:k]
-                    rest = bound[chunk[min(done + 4 * k, len(chunk) - 1)]]
-                    if len(best) == k and rest < -best[-1][0]:
-                        certain = True
-                        break
-                take *= 8
-            out += [(int(qid), i, -s) for s, i in best]
-    return out
-
-
-def _plain(vectors: list) -> np.ndarray:
-    """Exact integers as doubles where every score is sure to stay exact, else as Python numbers."""
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    largest = np.abs(m).max(initial=0)
-    if largest * largest * m.shape[1] < EXACT:
-        return m
-    return np.array([[int(x) for x in row] for row in m], dtype=object)
-
-
-def _search(key, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    if not len(queries) or not len(rows):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    both = _plain([*queries["vector"], *rows["vector"]])
-    q, m = both[: len(queries)], both[len(queries) :]
-    ids, qids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    if both.dtype == object:
-        found = []
-        for i, v in zip(qids, q):
-            scores = [(-int(sum(a * b for a, b in zip(v, w))), int(j)) for j, w in zip(ids, m) if j != i]
-            found += [(int(i), j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in sorted(scores)[:k]]
-    else:
-        found = search_block(qids, q, ids, m, k)
-    return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k best other rows."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    """Cells of a block of integer vectors beside the vectors, and bounds of their scores."""
+
+    def __init__(self, vectors: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, gap: np.ndarray) -> None:
+        self.vectors, self.cells, self.low, self.width, self.gap = vectors, cells, low, width, gap
+        self.largest = np.abs(vectors.astype(np.float64)).max(axis=0, initial=0)
+
+    @classmethod
+    def of(cls, vectors: np.ndarray) -> ApproximationFile:
+        """Cells of equal width in each component; whole numbers where the vectors leave room for that."""
+        if np.abs(vectors.astype(np.float64)).max(initial=0) < EXACT_DOUBLE >> 2:
+            low = vectors.min(axis=0)
+            width = -(-(vectors.max(axis=0) - low + 1) // CELLS)
+            return cls(vectors, ((vectors - low) // width).astype(np.uint8), low.astype(np.float64), width.astype(np.float64), width - 1.0)
+        real = vectors.astype(np.float64)
+        low = real.min(axis=0)
+        width = np.maximum((real.max(axis=0) - low) / CELLS, 1.0)
+        return cls(vectors, np.clip((real - low) // width, 0, CELLS - 1).astype(np.uint8), low, width, width)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, base, spread): base + part are upper bounds of the scores, one row per query, and spread less are lower ones."""
+        q = queries.astype(np.float64)
+        scaled, size = q * self.width, np.abs(q) @ self.largest
+        single = (np.abs(scaled).sum(axis=1) * (CELLS - 1) < EXACT_SINGLE).all() and (self.width == np.floor(self.width)).all()
+        kind = np.float32 if single else np.float64
+        part = scaled.astype(kind) @ self.cells.astype(kind).T
+        # what rounding may take from sums too large for doubles
+        slack = np.where(4 * (size + np.abs(q) @ self.width) < EXACT_DOUBLE, 0.0, (size + np.abs(q) @ self.width) * len(self.low) * 2.0**-44)
+        base = q @ self.low + np.maximum(q, 0) @ self.gap + slack
+        return part, base, np.abs(q) @ self.gap + 2 * slack
+
+    def scores(self, places: np.ndarray, query: np.ndarray) -> list[int]:
+        """Exact scores of some of the vectors, held at the ends of a long."""
+        rows = self.vectors[places]
+        if np.abs(query.astype(np.float64)) @ self.largest < EXACT_DOUBLE:
+            return (rows.astype(np.int64) @ query).tolist()
+        whole = query.tolist()
+        return [max(LEAST, min(MOST, sum(a * b for a, b in zip(row, whole)))) for row in rows.tolist()]
+
+    def pack(self) -> tuple[bytes, bytes, bytes, bytes, str, bytes]:
+        """Cells (two to a byte), edges, and the vectors in the least kind of integer that holds them."""
+        flat = self.cells.ravel()
+        flat = np.append(flat, np.uint8(0)) if len(flat) % 2 else flat
+        largest = self.largest.max(initial=0)
+        kind = "<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<i8"
+        edges = (x.astype("<f8").tobytes() for x in (self.low, self.width, self.gap))
+        return ((flat[0::2] | flat[1::2] << 4).tobytes(), *edges, kind, self.vectors.astype(kind).tobytes())
+
+    @classmethod
+    def unpack(cls, dim: int, cells: bytes, low: bytes, width: bytes, gap: bytes, kind: str, exact: bytes) -> ApproximationFile:
+        vectors = np.frombuffer(exact, dtype=kind).reshape(-1, dim)
+        both = np.frombuffer(cells, dtype=np.uint8)
+        flat = np.stack([both & 15, both >> 4], axis=1).ravel()[: vectors.size]
+        return cls(vectors, flat.reshape(vectors.shape), *(np.frombuffer(x, dtype="<f8") for x in (low, width, gap)))
+
+
+class Best:
+    """The k best (-score, id) of each query of a wave so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
+        self.kth = np.full(len(ids), -np.inf)
+        self.read = 0
+
+    def search(self, file: ApproximationFile, ids: np.ndarray, chunk: int = 256) -> None:
+        """Takes in a block."""
+        order = np.argsort(ids, kind="stable")
+        for start in range(0, len(self.ids), chunk):
+            asked = self.ids[start : start + chunk]
+            part, base, spread = file.bounds(self.queries[start : start + chunk])
+            first, after = np.searchsorted(ids[order], asked, "left"), np.searchsorted(ids[order], asked, "right")
+            for i in np.flatnonzero(after > first):  # a query is no candidate of its own
+                part[i, order[first[i] : after[i]]] = -np.inf
+            least = np.maximum(self.kth[start : start + chunk], LEAST) - base
+            least[np.isneginf(self.kth[start : start + chunk])] = -np.inf
+            if len(ids) > self.k:
+                least = np.maximum(least, np.partition(part, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - spread)
+            least = np.minimum(least, MOST - base)  # of scores held at an end only ids tell apart
+            least[base + part.max(axis=1) <= LEAST] = -np.inf
+            hits = (part >= least[:, None]) & (part > -np.inf)
+            for i in np.flatnonzero(hits.any(axis=1)):
+                self._read(file, ids, start + i, np.flatnonzero(hits[i]), part[i], base[i])
+
+    def _read(self, file: ApproximationFile, ids: np.ndarray, n: int, places: np.ndarray, part: np.ndarray, base: float) -> None:
+        """Exact vectors in the order of their bounds, until the kth score exceeds every bound left."""
+        places = places[np.argsort(-part[places], kind="stable")]
+        found, step = self.found[n], 4 * self.k
+        for at in range(0, len(places), step):
+            if len(found) == self.k and max(base + part[places[at]], LEAST) < -found[-1][0]:
+                break
+            read = places[at : at + step]
+            self.read += len(read)
+            found = sorted(found + [(-s, i) for s, i in zip(file.scores(read, self.queries[n]), ids[read].tolist())])[: self.k]
+        self.found[n] = found
+        if len(found) == self.k:
+            self.kth[n] = -found[-1][0]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """vec_id, vector, dim as rows of BLOCK, made where the vectors are read."""
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "string": pa.string()}.get(c.split()[1], pa.binary())) for c in BLOCK.split(", ")])
+
+    def block(dim: int, ids: list[np.ndarray], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        file = ApproximationFile.of(np.concatenate(vectors).reshape(-1, dim))
+        return _batch([(dim, np.concatenate(ids).astype("<i8").tobytes(), *file.pack())], schema)
+
+    def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, tuple[list, list]] = {}
+        held = 0
+        for whole in it:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                dims, ids = batch.column("dim").to_numpy(), batch.column("vec_id").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    mine = np.flatnonzero(dims == dim)
+                    flat = batch.column("vector").take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    kept = open_.setdefault(dim, ([], []))
+                    kept[0].append(ids[mine])
+                    kept[1].append(flat)
+                    held += len(flat)
+                    if sum(map(len, kept[0])) + 1024 > block_rows:
+                        held -= sum(map(len, kept[1]))
+                        yield block(dim, *open_.pop(dim))
+                if held > 1 << 22:  # vectors of very many lengths, or very long ones
+                    for dim in list(open_):
+                        yield block(dim, *open_.pop(dim))
+                    held = 0
+        for dim in list(open_):
+            yield block(dim, *open_.pop(dim))
+
+    return vectors.mapInArrow(build, BLOCK)
+
+
+def _scan(blocks: DataFrame, wave: DataFrame, k: int) -> DataFrame:
+    """The k best of each task for the queries of a wave, which is sent to all tasks."""
+    asked: dict[int, tuple[list, list]] = {}
+    for row in wave.collect():
+        kept = asked.setdefault(row["dim"], ([], []))
+        kept[0].append(row["vec_id"])
+        kept[1].append(row["vector"])
+    sent = blocks.sparkSession.sparkContext.broadcast({d: (np.array(i, dtype=np.int64), np.array(v, dtype=np.int64)) for d, (i, v) in asked.items()})
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in RESULT.split(", ")])
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, Best] = {}
+        for batch in it:
+            for n in range(batch.num_rows):
+                row = {name: batch.column(name)[n].as_py() for name in batch.schema.names}
+                dim, ids = row.pop("dim"), np.frombuffer(row.pop("ids"), dtype="<i8")
+                if dim in sent.value:
+                    if dim not in best:
+                        best[dim] = Best(*sent.value[dim], k)
+                    best[dim].search(ApproximationFile.unpack(dim, **row), ids)
+        for dim in list(best):
+            own = best.pop(dim)
+            for at in range(0, len(own.ids), 4096):
+                rows = [(int(q), i, -s) for q, found in zip(own.ids[at : at + 4096], own.found[at : at + 4096]) for s, i in found]
+                if rows:
+                    yield _batch(rows, schema)
+
+    return blocks.mapInArrow(search, RESULT)
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, block_rows: int = 4096, wave_bytes: int = 8 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query its k best other rows.
+
+    A wave of queries, at most about wave_bytes of vectors, is all that reaches the driver at a time; results of
+    several waves are written one after another.
+    """
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     given = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding"))
     usable = given.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(finite)
-    usable = cut(usable.select("vec_id", whole.alias("vector"), F.size("embedding").alias("dim")))
-    asked = usable.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))
-    counts = usable.agg(F.count("*"), F.count(F.when(F.col("vec_id") % query_every == 0, 1))).first()
-    blocks, query_blocks = max(1, -(-counts[0] // block_rows)), max(1, -(-counts[1] // query_rows))
-    draw = F.xxhash64("vec_id", "vector")
-    rows = usable.withColumn("block", F.pmod(draw, F.lit(blocks)).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.withColumn("query_block", F.pmod(draw, F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ("dim", "block", "query_block")
-    found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda key, q, r: _search(key, q, r, k), RESULT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    usable = usable.select("vec_id", whole.alias("vector"), F.size("embedding").alias("dim"))
+    asking = usable.filter(F.col("vec_id") % query_every == 0)
+    asked = cut(asking.groupBy("vec_id", "dim").agg(F.min("vector").alias("vector")))
+    blocks = cut(_blocks(usable, block_rows))
+    size = asked.agg(F.coalesce(F.sum(F.col("dim").cast("long") * 8), F.lit(0))).first()[0]
+    waves = max(1, -(-size // wave_bytes))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(wave: DataFrame) -> DataFrame:
+        found = _scan(blocks, wave, k)
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if waves == 1:
+        return ranked(asked)
+    numbered = asked.withColumn("wave", F.pmod(F.xxhash64("vec_id", "dim"), F.lit(waves)))
+    done = cut(ranked(numbered.filter(F.col("wave") == 0)))
+    for wave in range(1, waves):
+        done = done.unionByName(cut(ranked(numbered.filter(F.col("wave") == wave))))
+    return done
 
 
 ORACLE = """
