@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("events", "text", "corpus", "pages", "records", "details")
+NAMES = ("events", "text", "corpus", "pages", "records", "details", "scripts")
 
 
 def load() -> None:
