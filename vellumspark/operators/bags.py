@@ -39,8 +39,8 @@ def recall(reference: DataFrame, output: DataFrame) -> DataFrame:
 
 def grams(words: Column, n: int) -> Column:
     """Adjacent n-grams of an array, joined by spaces."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
 
 
 def glued(reference_words: DataFrame, output: DataFrame) -> DataFrame:
@@ -91,6 +91,18 @@ def order_kept(a: DataFrame, b: DataFrame, n: int = 4, least: int = 20) -> DataF
     return anchors.groupBy("doc_id").applyInPandas(rise, "doc_id long, anchors long, in_order long, share double")
 
 
+def percentile(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """key, value: the element at place floor(share * n) (from 0, the last at most) of each group's sorted values.
+
+    Values are counted before the shuffle, so a group that holds most rows takes no more than its different values.
+    """
+    counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
+    by = Window.partitionBy(key)
+    running = counted.select(key, F.col(value).alias("value"), F.sum("n").over(by.orderBy(value)).alias("until"), F.sum("n").over(by).alias("total"))
+    at = F.least(F.col("total") - 1, F.floor(F.col("total") * share))
+    return running.filter(F.col("until") > at).groupBy(key).agg(F.min("value").alias("value"))
+
+
 def broken_paragraphs(lines: DataFrame) -> DataFrame:
     """Paragraph ends in mid-sentence whose next begins in lower case. lines: doc_id, n, line."""
     after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumspark.operators.detect import site
+from vellumspark.session import cut
 
 
 def redirects(guesses: DataFrame, manual: DataFrame) -> DataFrame:
@@ -99,17 +100,19 @@ def copies(recipients: DataFrame, lines: DataFrame, room: float, char_width: flo
     return both.select("recipient", "line", text.alias("text"), F.when(scale >= least, F.round(scale, 6)).alias("scale"))
 
 
-def surviving_outline(entries: DataFrame, kept_pages: DataFrame, rounds: int = 20) -> DataFrame:
-    """Outline entries (doc, entry, parent, page) on kept pages, with the entries above them."""
-    alive = entries.join(kept_pages, ["doc", "page"], "left_semi").select("doc", "entry", "parent")
-    edge = alive
-    for _ in range(rounds):
-        above = edge.select("doc", F.col("parent").alias("entry")).filter("entry IS NOT NULL").distinct()
-        edge = entries.select("doc", "entry", "parent").join(above, ["doc", "entry"], "left_semi").join(alive.select("doc", "entry"), ["doc", "entry"], "left_anti").persist()
-        if not edge.limit(1).count():
-            return alive.select("doc", "entry")
-        alive = alive.unionByName(edge).persist()
-    raise RuntimeError("the outline is deeper than the rounds")
+def surviving_outline(entries: DataFrame, kept_pages: DataFrame) -> DataFrame:
+    """Outline entries (doc, entry, parent, page) on kept pages, with the entries above them: a round per level, each written once.
+
+    It ends when a round finds no entry that is not yet there, so entries that are their own ancestors do no harm.
+    """
+    tree = cut(entries.select("doc", "entry", "parent").distinct())
+    found = cut(entries.join(kept_pages, ["doc", "page"], "left_semi").select("doc", "entry", "parent").distinct())
+    alive = found
+    while not found.isEmpty():
+        above = found.select("doc", F.col("parent").alias("entry")).filter("entry IS NOT NULL").distinct()
+        found = cut(tree.join(above, ["doc", "entry"], "left_semi").join(alive.select("doc", "entry"), ["doc", "entry"], "left_anti"))
+        alive = cut(alive.unionByName(found))
+    return alive.select("doc", "entry").distinct()
 
 
 def common_length(x: list, y: list) -> int:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.operators.graph import connected_components
+
 
 def meta(html: Column, name: str) -> Column:
     """Content of a meta element by name or property, attributes in either order."""
@@ -41,19 +43,11 @@ def element_by_class(html: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(whole, r"(?is)^<div[^>]*>", ""), r"(?is)</div>\s*$", "")
 
 
-def alternate_groups(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """page, root: connected components of alternate links (a, b), by smallest label over joins, until nothing changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "page")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["page"]).groupBy("a").agg(F.min("root").alias("near"))
-        moved = labels.join(near, labels["page"] == near["a"], "left").select("page", F.least("root", F.coalesce("near", "root")).alias("root"), (F.coalesce("near", "root") < F.col("root")).alias("changed"))
-        moved = moved.persist()
-        changed = moved.filter("changed").limit(1).count()
-        labels = moved.drop("changed")
-        if not changed:
-            return labels
-    raise RuntimeError("alternates did not settle")
+def alternate_groups(links: DataFrame) -> DataFrame:
+    """page, root: connected components of alternate links (a, b); root is the smallest page. A page that only links itself is its own."""
+    joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pages = links.select(F.col("a").alias("page")).unionByName(links.select(F.col("b").alias("page"))).filter("page IS NOT NULL").distinct()
+    return pages.join(joined, F.col("page") == F.col("node"), "left").select("page", F.coalesce("root", "page").alias("root"))
 
 
 def keywords(text: Column) -> Column:

@@ -158,12 +158,7 @@ def e20(spark, d):
 
 @query("e21_percentiles", "SELECT source, list_sort(list(n_chars))[(least(count(*) - 1, floor(0.9 * count(*))) + 1)::BIGINT] AS p90 FROM documents GROUP BY 1")
 def e21(spark, d):
-    # the same element by rank: no list of a group is gathered
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("source")
-    ranked = docs(spark, d).select("source", "n_chars", F.row_number().over(by.orderBy("n_chars")).alias("r"), F.count("*").over(by).alias("n"))
-    return ranked.filter(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)) + 1).select("source", F.col("n_chars").alias("p90"))
+    return B.percentile(docs(spark, d).select("source", "n_chars"), "source", "n_chars", 0.9).select("source", F.col("value").alias("p90"))
 
 
 @query(

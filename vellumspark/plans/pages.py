@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from vellumspark.operators import pagelists as P
 from vellumspark.operators import web as H
 from vellumspark.plans.registry import query
 from vellumspark.plans.text import LINES, docs, lines
-from vellumspark.session import table
+from vellumspark.session import checkpoint_dir, table
 from vellumspark.streaming import bursts
 
 # ---- page lists: parts are files, their size the page count; four files make a job
@@ -277,10 +278,10 @@ def h03(spark, d):
 
 @query(
     "h04_alternate_groups",
-    "WITH RECURSIVE e AS (SELECT page_id AS a, page_id + 10 AS b FROM pages WHERE page_id % 20 < 10 UNION SELECT page_id + 10, page_id FROM pages WHERE page_id % 20 < 10), g AS (SELECT DISTINCT a AS page, a AS root FROM e UNION SELECT e.b, g.root FROM g JOIN e ON e.a = g.page) SELECT page, min(root) AS root FROM g GROUP BY 1",
+    "WITH RECURSIVE e AS (SELECT page_id AS a, page_id + 10 AS b FROM pages WHERE page_id % 100 < 90 UNION SELECT page_id + 10, page_id FROM pages WHERE page_id % 100 < 90), g AS (SELECT DISTINCT a AS page, a AS root FROM e UNION SELECT e.b, g.root FROM g JOIN e ON e.a = g.page) SELECT page, min(root) AS root FROM g GROUP BY 1",
 )
 def h04(spark, d):
-    pages = table(spark, d, "pages").filter("page_id % 20 < 10")
+    pages = table(spark, d, "pages").filter("page_id % 100 < 90")  # chains of ten pages
     return H.alternate_groups(pages.select(F.col("page_id").alias("a"), (F.col("page_id") + 10).alias("b")))
 
 
@@ -303,14 +304,20 @@ def h07(spark, d):
 # ---- streams, run to their end over the event file
 
 
-def _streamed(spark: SparkSession, d: str, name: str, build, mode: str) -> DataFrame:
+def _streamed(spark: SparkSession, d: str, name: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """A stream run to its end; each batch (of complete output: the last) is written to the shared folder, once even if it is tried again."""
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellumspark-stream-")
-    sink = f"{name}_{abs(hash((d, spark.sparkContext.applicationId))) % 10**9}"
-    running = build(source).writeStream.outputMode(mode).format("memory").queryName(sink).trigger(availableNow=True).option("checkpointLocation", f"{folder}/{sink}-{spark._jvm.java.util.UUID.randomUUID().toString()}").start()
+    out, folder = build(source), f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number if mode == 'append' else 0}")
+
+    running = out.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start()
     running.awaitTermination()
-    return spark.table(sink)
+    if running.lastProgress is None:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows").select(*out.columns)
 
 
 @query("stream_daily_counts", "SELECT ts::DATE AS day, event_type, count(*) AS events FROM events GROUP BY ALL")

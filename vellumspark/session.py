@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,10 +45,28 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Uses the folder that spark.checkpoint.dir names; a local session that names none gets a folder of its own, a cluster must name one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumspark-checkpoint-"))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and goes on from there, so lost executors cost no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def python_version() -> str:
-    return sys.version.split()[0]
