@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
+from vellumspark.session import cut, ensure_checkpoint_dir
+
+__all__ = ["ascii_lower", "crc_remainder", "cut", "ensure_checkpoint_dir", "free_names", "pieces", "small", "text_digest", "text_or_empty", "without"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -23,21 +26,6 @@ def text_or_empty(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that spark.checkpoint.dir names; sets one of its own only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumspark-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and goes on from there, so lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
