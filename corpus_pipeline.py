@@ -4,6 +4,10 @@ Language identification drops what has no identifiable language; the quality cla
 under its threshold; exact dedup keeps the copy with the largest id; SimHash near-dedup keeps the document
 with the smallest id of each component; packing returns the pieces of training sequences. All stages but the
 last return the columns of documents. Each model learns from the documents its own stage is given.
+
+Null and empty texts have no language and go in the first stage; texts of any length, repeated rows, ids that
+several texts share, rows without an id and further columns, whatever their names, pass through all stages as
+the operators say. An empty table gives no rows. Labels of one kind only are an error, not a reason to drop all.
 """
 
 from __future__ import annotations
@@ -13,9 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumspark.llm import exact_dedup, langid, packing, quality, simhash
-from vellumspark.llm.common import ensure_checkpoint_dir
 from vellumspark.llm.queries import tokenizer_path
-from vellumspark.session import table
+from vellumspark.session import checkpoint_dir, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared checkpoint folder; what a stage has read is deleted once its result is there."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
