@@ -451,3 +451,16 @@ def test_license_windows_meet_as_stated(spark):
     df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>")
     met = df.select(license_scan.window_bands("a", 4).alias("a"), license_scan.window_bands("b", 4).alias("b")).filter("arrays_overlap(a, b)").count()
     assert abs(met / 2000 - (1 - (1 - 0.36) ** 4)) < 0.04
+
+
+def test_pieces_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from vellumspark.llm.common import pieces
+
+    texts = [None, "", "x" * 5000, *["y" * n for n in range(300)], "z" * 100_000, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = list(pieces(iter([batch, batch.slice(0, 0), batch]), rows=50, size=4000))
+    assert [t for p in got for t in p.column("text").to_pylist()] == texts * 2
+    assert all(p.num_rows == 1 or (p.num_rows <= 50 and p.nbytes <= 4000) for p in got)
+    assert list(pieces(iter([]))) == []

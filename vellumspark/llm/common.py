@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from vellumspark.session import cut, ensure_checkpoint_dir
 
-__all__ = ["ascii_lower", "crc_remainder", "cut", "ensure_checkpoint_dir", "free_names", "pieces", "small", "text_digest", "text_or_empty", "without"]
+__all__ = ["ascii_lower", "crc_remainder", "cut", "ensure_checkpoint_dir", "free_names", "pieces", "release_memory", "small", "text_digest", "text_or_empty", "without"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -31,11 +33,30 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in pieces, so that few texts at a time become Python objects."""
+def release_memory() -> None:
+    """Gives what a worker no longer uses back to the system: workers live on from stage to stage, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not on every system
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of so many rows and bytes (or one row), so that few texts at a time become Python objects."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        at, step = 0, rows
+        while at < batch.num_rows:
+            piece = batch.slice(at, step)
+            if piece.nbytes > size and piece.num_rows > 1:
+                step = piece.num_rows // 2
+                continue
+            yield piece
+            at, step = at + piece.num_rows, min(rows, 2 * step)
+        piece = None
+    batch = None
+    release_memory()
 
 
 def free_names(columns: list[str], *wanted: str) -> list[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import golay
-from vellumspark.llm.common import cut, text_digest, text_or_empty, without
+from vellumspark.llm.common import cut, pieces, text_digest, text_or_empty, without
 from vellumspark.operators.graph import connected_components
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(found)], ["doc_id", "digest", "fp"])
 
