@@ -1,6 +1,7 @@
 """Writing systems, runs of items, files: small cases and brute force."""
 
 import random
+import time
 
 import numpy as np
 import regex
@@ -24,6 +25,15 @@ def test_join_words(spark):
     assert [r[0] for r in rows.select(W.join_words(F.col("w"))).collect()] == ["为什么 PDF 看，好", "", "한 국", None, "这些"]
 
 
+def test_join_words_in_linear_time(spark):
+    words = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(i % 3 == 0, "ab").otherwise("压缩"))
+    joined = lambda n: one(spark, W.join_words(words), n=n)
+    assert joined(7) == "压缩压缩 ab 压缩压缩 ab 压缩"
+    began = time.monotonic()
+    assert joined(24_000).count(" ab") == 8_000
+    assert time.monotonic() - began < 20
+
+
 def naive_switches(text):
     kinds = {s: "CJK" if s in W.CHINESE_JAPANESE else s for s in W.SCRIPTS}
     res = [(kinds[s], regex.compile(rf"\p{{Script={s}}}")) for s in W.SCRIPTS]

@@ -53,8 +53,10 @@ def joins_without_space(a: Column, b: Column) -> Column:
 def join_words(words: Column) -> Column:
     """Words (an array) as text, with a space wherever one side of a seam is neither Chinese, Japanese nor full-width. Nulls are left out."""
     kept = F.filter(words, lambda w: w.isNotNull() & (w != ""))
-    pieces = F.transform(kept, lambda w, i: F.when((i == 0) | joins_without_space(F.try_element_at(kept, i), w), w).otherwise(F.concat(F.lit(" "), w)))
-    return F.array_join(pieces, "")
+    # each word meets the one before it in a shifted array: kept named inside the lambda would be made anew for every word
+    before = F.concat(F.array(F.lit(None).cast("string")), kept)
+    pieces = F.zip_with(before, kept, lambda b, w: F.when(b.isNull() | joins_without_space(b, w), w).otherwise(F.concat(F.lit(" "), w)))
+    return F.array_join(pieces, "")  # the last word before nothing gives null, which is left out
 
 
 def _class(names: tuple[str, ...] | list[str]) -> str:
