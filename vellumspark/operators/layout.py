@@ -1,13 +1,18 @@
 """Structure from positioned text: lines, paragraphs, columns, tables, headings, repeated furniture, Markdown.
 
 Items are rows (doc_id, page, seq, x, y, width, size, text); y grows upwards. What depends on the order in
-which items are met runs per page in applyInPandas; document aggregates and everything after them are joins
+which items are met runs per page in Arrow batches of whole pages; document aggregates and everything after them are joins
 and windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,24 +36,75 @@ def page_lines(items: pd.DataFrame, tolerance: float = 6.0) -> list[pd.DataFrame
     return [items.loc[m].sort_values("x", kind="stable") for m in members]
 
 
-def join_items(line: pd.DataFrame) -> str:
-    """Texts of a line; a gap over 0.15 of the size is a space."""
-    out, end = "", None
-    for r in line.itertuples():
-        if end is not None and r.x - end > 0.15 * r.size and not out.endswith(" "):
-            out += " "
-        out, end = out + r.text, r.x + r.width
-    return out
+ITEM = ("x", "y", "width", "size", "text", "seq")
+
+
+def _tails(texts: pa.Array, gap: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a line built up to each item ends with a space: as its last text that isn't empty does, or since then a space was put in."""
+    n = len(first)
+    told = np.flatnonzero((pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0) | first)
+    last = np.repeat(told, np.diff(np.append(told, n)))
+    put = np.maximum.accumulate(np.where(gap, np.arange(n), -1))
+    return pc.ends_with(texts, " ").to_numpy(zero_copy_only=False)[last] | (put > last)
+
+
+def built_lines(pages: pa.Table, tolerance: float) -> pa.RecordBatch:
+    """Lines of whole pages (doc_id, page, items). An item, from the top, joins the line of the one before unless it is further than the tolerance below that line's first y; a gap over 0.15 of the size is a space."""
+    items = pages.column("items").combine_chunks()
+    owner = np.repeat(np.arange(len(items)), items.value_lengths().to_numpy(zero_copy_only=False))
+    x, y, width, size = (items.flatten().field(c).to_numpy(zero_copy_only=False).astype(float) for c in ITEM[:4])
+    seq = items.flatten().field("seq").to_numpy(zero_copy_only=False)
+    # from the top, and of each height one: heads of lines are more than the tolerance apart, so only the last can take an item
+    order = np.lexsort((seq, x, -y, owner))
+    o, h = owner[order], y[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
+    at, page, head, line, lines_ = np.flatnonzero(new), -1, 0.0, -1, []
+    for p, v in zip(o[at].tolist(), h[at].tolist()):
+        if p != page:
+            page, head, line = p, v, 0
+        elif not head - v <= tolerance:
+            head, line = v, line + 1
+        lines_.append(line)
+    number = np.repeat(np.array(lines_, int), np.diff(np.append(at, len(order))))
+    # along each line
+    again = np.lexsort((x[order], number, o))
+    order, number = order[again], number[again]
+    owner, x, y, width, size = (v[order] for v in (owner, x, y, width, size))
+    texts = pc.fill_null(items.flatten().field("text").take(pa.array(order)).cast(pa.large_string()), "")
+    first = np.ones(len(order), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+    gap = ~first
+    gap[1:] &= x[1:] - (x[:-1] + width[:-1]) > 0.15 * size[1:]
+    space = gap.copy()
+    space[1:] &= ~_tails(texts, gap, first)[:-1]
+    pieces = pc.binary_join_element_wise(pc.if_else(pa.array(space), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())), texts, pa.scalar("", pa.large_string()))
+    at = np.flatnonzero(first)
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(at, len(order)), pa.int64()), pieces), pa.scalar("", pa.large_string()))
+    own = pa.array(owner[at])
+    doc, page_ = (pages.column(c).combine_chunks().take(own) for c in ("doc_id", "page"))
+    found = [doc.cast(pa.int64()), page_.cast(pa.int32()), pa.array(number[at], pa.int32()), pa.array(y[at]), pa.array(x[at]), pa.array(np.fmax.reduceat(size, at)), joined.cast(pa.string())]
+    return pa.RecordBatch.from_arrays(found, [c.split()[0] for c in LINE.split(", ")])
 
 
 def lines(items: DataFrame, tolerance: float = 6.0) -> DataFrame:
     """One row per line in reading order."""
+    return lines_of_pages(items.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*ITEM)).alias("items")), tolerance)
+
+
+def lines_of_pages(pages: DataFrame, tolerance: float = 6.0) -> DataFrame:
+    """The same from one row per page: doc_id, page, items (an array of the items' other columns). Some 100,000 items are built at a time, whole pages."""
 
-    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], key[1], n, float(li["y"].iloc[0]), float(li["x"].iloc[0]), float(li["size"].max()), join_items(li)) for n, li in enumerate(page_lines(pdf, tolerance))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("items").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 100_000, "right")))
+                yield built_lines(pa.Table.from_batches([batch.slice(start, stop - start)]), tolerance)
+                start = stop
 
-    return items.groupBy("doc_id", "page").applyInPandas(build, LINE)
+    return pages.filter(F.size("items") > 0).mapInArrow(build, LINE)
 
 
 def upper_median(value: str) -> Column:

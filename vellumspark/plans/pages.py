@@ -125,12 +125,14 @@ def p16(spark, d):
 # ---- layout: the words of each line are items of 6 points a letter, 40 lines a page
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    own = lines(spark, d).filter("line <> ''").withColumn("page", F.floor((F.col("n") - 1) / 40).cast("int"))
-    words = own.select("doc_id", "page", "n", F.posexplode(F.split("line", " ")).alias("seq", "text"))
-    size = F.when(F.col("n") == 1, 18.0).otherwise(10.0)
+def pages_of_items(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, page, items: made as arrays where texts are read, so that pages, not words, meet in the shuffle."""
+    forty = F.regexp_extract_all("text", F.lit(r"((?:[^\n]*(?:\n|\z)){1,40})"), F.lit(1))
+    own = docs(spark, d).select("doc_id", F.posexplode(forty).alias("page", "own")).filter(r"rlike(own, r'[^\n]')").select("doc_id", "page", F.split("own", "\n").alias("own"))
     # x is 30 points a word: what counts is the order and the gaps
-    return words.select("doc_id", "page", "seq", (F.col("seq") * 30.0).alias("x"), (F.lit(800.0) - ((F.col("n") - 1) % 40) * 15).alias("y"), (F.length("text") * 3.0).alias("width"), size.alias("size"), "text")
+    word = lambda i: lambda w, seq: F.struct((seq * 30.0).alias("x"), (F.lit(800.0) - i * 15).alias("y"), (F.length(w) * 3.0).alias("width"), F.when((i == 0) & (F.col("page") == 0), 18.0).otherwise(10.0).alias("size"), w.alias("text"), seq.alias("seq"))
+    words = F.flatten(F.transform("own", lambda line, i: F.transform(F.when(line != "", F.split(line, " ")).otherwise(F.array().cast("array<string>")), word(i))))
+    return own.select("doc_id", "page", words.alias("items")).groupBy("doc_id", "page").agg(F.flatten(F.collect_list("items")).alias("items"))
 
 
 def layout_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +146,7 @@ LAYOUT = f"{LINES}, r AS (SELECT doc_id, ((n - 1) // 40)::INT AS page, ((n - 1)
 
 @query("l01_lines")
 def l01(spark, d):
-    return L.lines(items(spark, d)).select("doc_id", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return L.lines_of_pages(pages_of_items(spark, d)).select("doc_id", "page", "line", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("l09_median_size", f"WITH {LAYOUT}, k AS (SELECT doc_id, list_sort(list(size)) AS s FROM r GROUP BY 1) SELECT doc_id, s[len(s) // 2 + 1]::DOUBLE AS median FROM k")
