@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from vellumspark.operators import layout
-from vellumspark.plans import pages
+from vellumspark.plans import details, pages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +81,10 @@ def test_lines_meet_page_by_page(spark, tmp_path):
     assert sorted(r[:3] for r in got) == want
     texts_ = {r[:3]: hashlib.md5(r[6].encode()).hexdigest() for r in naive_lines(rows)}
     assert all(texts_[r[:3]] == r[3] for r in got if r[0] != 0)  # texts of id 0 share places, whose order is open
+
+
+def test_token_of_each_row(spark, tmp_path):
+    d = stored(spark, tmp_path, [(1, "one two three"), (1, "other words"), (2, "x")])
+    spark.createDataFrame([(None, "no id here", "en", "s", 10), (3, None, "en", "s", 0)], DOCS).write.mode("append").parquet(f"{d}/documents.parquet")
+    got = [(r.doc_id, r.at, r.token) for r in details.d06(spark, d).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 7, "two"), (1, 7, "words"), (2, 7, "x"), (None, 7, "here"), (3, 7, None)], key=repr)

@@ -13,17 +13,22 @@ from vellumspark.functions.text import mask_digits
 BYTE_RANGE = re.compile(rb"/ByteRange\s*\[\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s*\]")
 
 
-def tokens_at(docs: DataFrame, places: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """The personal-data match that covers a place (from 0), else the word there. places: doc_id, at."""
+def token_at(text: Column, at: Column, patterns: dict[str, str]) -> Column:
+    """The personal-data match that covers a place (from 0), else the word there."""
     covers = F.when(F.lit(False), "")
     for pattern in patterns.values():
-        found = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
-        start = lambda m: F.call_function("instr", F.col("text"), m)
-        hit = F.try_element_at(F.filter(found, lambda m: (start(m) <= F.col("at") + 1) & (start(m) + F.length(m) > F.col("at") + 1)), F.lit(1))
+        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+        start = lambda m: F.call_function("instr", text, m)
+        hit = F.try_element_at(F.filter(found, lambda m: (start(m) <= at + 1) & (start(m) + F.length(m) > at + 1)), F.lit(1))
         covers = covers.when(hit.isNotNull(), hit)
-    left = F.regexp_extract(F.substring("text", F.lit(1), F.col("at")), r"(\S*)\z", 1)
-    right = F.regexp_extract(F.substring("text", F.col("at") + 1, F.length("text")), r"^(\S*)", 1)
-    return docs.join(places, "doc_id").select("doc_id", "at", F.coalesce(covers, F.concat(left, right)).alias("token"))
+    left = F.regexp_extract(F.substring(text, F.lit(1), at), r"(\S*)\z", 1)
+    right = F.regexp_extract(F.substring(text, at + 1, F.length(text)), r"^(\S*)", 1)
+    return F.coalesce(covers, F.concat(left, right))
+
+
+def tokens_at(docs: DataFrame, places: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """The token at each place of the documents. places: doc_id, at."""
+    return docs.join(places, "doc_id").select("doc_id", "at", token_at(F.col("text"), F.col("at"), patterns).alias("token"))
 
 
 def doubled_words(words: DataFrame, near: float) -> DataFrame:
