@@ -150,3 +150,13 @@ def test_encryption(spark):
     rows = spark.createDataFrame([(i, bytearray(c)) for i, (c, _, _) in enumerate(cases)], "i int, c binary")
     got = rows.orderBy("i").select(Z.looks_encrypted(F.col("c")), Z.encryption_revision(F.col("c"))).collect()
     assert [tuple(r) for r in got] == [(e, r) for _, e, r in cases]
+
+
+def test_encryption_revision_at_the_edges(spark):
+    """As the reference reads: what stands wholly in the first or last 65536 bytes, spaces behind the digit or not."""
+    def file(k):
+        mark = b"/Encrypt/Filter  /Standard /R 6      "
+        return bytearray(b"." * k + mark + b"." * (200_000 - k - len(mark)))
+
+    rows = spark.createDataFrame([(k, file(k)) for k in (65502, 65505, 65506, 134455, 134456)], "k int, c binary")
+    assert {r[0]: r[1] for r in rows.select("k", Z.encryption_revision(F.col("c"))).collect()} == {65502: 6, 65505: 6, 65506: None, 134455: None, 134456: 6}
