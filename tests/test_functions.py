@@ -27,6 +27,11 @@ def test_alphabetic(spark, n, want):
     assert one(spark, T.alphabetic(F.col("n")), n=n) == want
 
 
+@pytest.mark.parametrize("n,want", [(18278, "ZZZ"), (18279, "AAAA"), (19999, "ACOE"), (475255, "AAAAA")])
+def test_alphabetic_beyond_three_letters(spark, n, want):
+    assert one(spark, T.alphabetic(F.col("n")), n=n) == want
+
+
 @pytest.mark.parametrize("spec,want", [("1-3, 5", [1, 2, 3, 5]), ("3、1", [1, 3]), ("２－４", [2, 3, 4]), ("9-2", [2, 3, 4, 5, 6, 7, 8, 9]), ("0", []), ("5~99", [5, 6, 7, 8, 9, 10]), ("x", [])])
 def test_page_range(spark, spec, want):
     assert one(spark, T.page_range(F.col("s"), F.lit(10)), s=spec) == want
